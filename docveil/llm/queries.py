@@ -10,12 +10,36 @@ from pyspark.sql import functions as F
 from docveil.llm.common import table
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docveil.llm.quality import ACCEPT, fit, held_out, scored
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    score = F.col("quality_score")
+    r = scored(docs, fit(docs, table(spark, sf_dir, "labels")))
+    return r.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score.alias("score"), (score >= ACCEPT).cast("int").alias("predicted"))
+
+
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docveil.llm.near_dedup import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docveil.llm.pii import KINDS, find_pii
+
+    r = find_pii(table(spark, sf_dir, "documents"))
+    base = [k.name for k in KINDS if k.base]
+    said = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return r.select(
+        "doc_id",
+        *(count(k) for k in base),
+        F.sha2(said(F.filter("spans", lambda s: s["kind"].isin(base))).cast("binary"), 256).alias("base_sha256"),
+        said(F.col("spans")).alias("spans"),
+    )
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docveil.llm.decontaminate import decontaminate
 
