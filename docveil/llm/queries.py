@@ -54,6 +54,25 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def word_bpe() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op9_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docveil.llm.planes import planes_folder, read_planes, write_planes
+
+    docs, path = table(spark, sf_dir, "documents"), word_bpe()
+
+    def encode():
+        from docveil.llm.encoder import encoder
+
+        return encoder(path).encode
+
+    return read_planes(write_planes(docs, encode, 2, planes_folder(docs)))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
