@@ -25,6 +25,20 @@ def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def piece_model() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docveil.llm.pieces import Dropout, decode_pieces, encode_pieces
+
+    p = Dropout(piece_model())
+    r = decode_pieces(encode_pieces(table(spark, sf_dir, "documents").select("doc_id", "text"), p), p)
+    return r.select("doc_id", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_pieces"), F.crc32(F.array_join("ids", ",").cast("binary")).alias("ids_crc32"), F.col("decoded").eqNullSafe(F.col("text")).alias("lossless"))
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docveil.llm.pii import KINDS, find_pii
 
