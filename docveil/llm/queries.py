@@ -39,6 +39,16 @@ def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("doc_id", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_pieces"), F.crc32(F.array_join("ids", ",").cast("binary")).alias("ids_crc32"), F.col("decoded").eqNullSafe(F.col("text")).alias("lossless"))
 
 
+def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docveil.llm.topk import top_k
+
+    x = F.col("embedding").cast("array<double>")
+    bad = F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
+    rows = table(spark, sf_dir, "embeddings").where(x.isNotNull() & ~bad)
+    rows = rows.select(F.col("vec_id").alias("id"), F.transform(x, lambda v: F.floor(v * 256)).alias("vector"))
+    return top_k(rows, rows.where("id % 50 = 0"), 5)
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docveil.llm.pii import KINDS, find_pii
 
@@ -87,6 +97,22 @@ def op9_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_planes(write_planes(docs, encode, 2, planes_folder(docs)))
 
 
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docveil.llm.common import shared_dir
+    from docveil.llm.token_files import count_tokens, write_token_files
+
+    path, end = word_bpe(), 49407
+
+    def encode():
+        from docveil.llm.encoder import encoder
+
+        return encoder(path, plain_specials=True).encode
+
+    files, documents = write_token_files(table(spark, sf_dir, "documents"), encode, end, f"{shared_dir(spark)}/tokens")
+    counts = count_tokens(files, end)
+    return documents.join(counts, ["path", "ordinal"], "full").select("doc_id", "n_tokens", "ended")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
