@@ -10,6 +10,17 @@ from pyspark.sql import functions as F
 from docveil.llm.common import table
 
 
+#: The rules of op1: host, path, verdict.
+RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
+
+
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docveil.llm.url_filter import url_verdicts
+
+    rules = spark.createDataFrame(list(RULES), "host string, path string, verdict string")
+    return url_verdicts(table(spark, sf_dir, "pages"), rules)
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docveil.llm.quality import ACCEPT, fit, held_out, scored
 
@@ -19,6 +30,14 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score.alias("score"), (score >= ACCEPT).cast("int").alias("predicted"))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docveil.llm.common import shared_dir
+    from docveil.llm.warc import read_warc, write_warc
+
+    archives = write_warc(table(spark, sf_dir, "pages"), f"{shared_dir(spark)}/warc")
+    return read_warc(archives).drop("url")
+
+
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docveil.llm.near_dedup import near_duplicates
 
