@@ -1,11 +1,222 @@
-"""The queries of the library's operators."""
+"""A query per operator, on the driver's tables."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from docveil.functions import masks, validators
+from docveil.functions import spans as S
+from docveil.operators import anonymize, measure, runs
+from docveil.operators.detect import analyze, entities, with_entities, with_offsets
+from docveil.operators.registry import select
+from docveil.sinks.html import highlighted_lines
+from docveil.sources.text import lines_of
+
+#: The types that the documents table holds.
+FOUND = ("EMAIL_ADDRESS", "PHONE_NUMBER", "IP_ADDRESS", "CREDIT_CARD")
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines_of(_table(spark, sf_dir, "documents"))
+
+
+def _entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analyze(_documents(spark, sf_dir), select(list(FOUND)))
+
+
+def _numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, d): nine digits made from each order's key."""
+    n = F.pmod(F.col("o_orderkey").cast("long") * 7919 * 101, F.lit(1000000000))
+    return _table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("long").alias("id"), F.lpad(n.cast("string"), 9, "0").alias("d"))
+
+
+def _ssn(d: Column) -> Column:
+    return F.concat(F.substring(d, 1, 3), F.lit("-"), F.substring(d, 4, 2), F.lit("-"), F.substring(d, 6, 4))
+
+
+def _cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines with court and identity data made from orders: 3 lines a customer's document."""
+    o = _table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("long").alias("doc_id"), F.col("o_orderkey").cast("long").alias("k"), F.to_date("o_orderdate").alias("day"))
+    d = F.lpad(F.pmod(F.col("k") * 7919 * 101, F.lit(1000000000)).cast("string"), 9, "0")
+    texts = F.array(
+        F.concat(F.lit("Plaintiff SSN "), _ssn(d), F.lit(", DOB "), F.date_format("day", "MM/dd/yyyy"), F.lit(".")),
+        F.concat(F.lit("Case No. 1:"), F.date_format("day", "yy"), F.lit("-cv-"), F.lpad(F.pmod("k", F.lit(100000)).cast("string"), 5, "0"), F.lit("; routing "), d),
+        F.concat(F.lit("Employer EIN "), F.substring(d, 1, 2), F.lit("-"), F.substring(d, 3, 7), F.lit(", Bar No. "), F.substring(d, 1, 7)),
+    )
+    rows = o.select("doc_id", "k", F.posexplode(texts).alias("i", "text"))
+    return rows.select("doc_id", (F.col("k") * 3 + F.col("i")).cast("int").alias("line_no"), "text", F.lit("built").alias("source"))
+
+
+CASES = ("US_SSN", "US_DOB", "US_COURT_DOCKET", "US_BANK_ROUTING", "US_EIN", "US_BAR_NUMBER")
+
+
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _documents(spark, sf_dir).select("doc_id", "line_no", "text")
+
+
+def global_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_offsets(_documents(spark, sf_dir)).select("doc_id", "line_no", "offset")
+
+
+def _detect(entity: str) -> Callable[[SparkSession, str], DataFrame]:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        found = with_entities(_documents(spark, sf_dir).withColumn("offset", F.lit(0)), select([entity]))
+        return entities(found).select("doc_id", "line_no", F.col("line_start").cast("long").alias("start"), F.col("line_end").cast("long").alias("end"), "score", F.col("text").alias("value"))
+
+    return query
+
+
+def _validate(valid: Callable[[Column], Column], shape: Callable[[Column], Column]) -> Callable[[SparkSession, str], DataFrame]:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        value = shape(F.col("d"))
+        return _numbers(spark, sf_dir).select("id", value.alias("value"), valid(value).alias("ok"))
+
+    return query
+
+
+def validate_luhn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    value = F.concat(F.lit("4111 11"), F.substring("d", 1, 2), F.lit(" "), F.substring("d", 3, 4), F.lit(" "), F.lit("111"), F.substring("d", 9, 1))
+    return _numbers(spark, sf_dir).select("id", value.alias("value"), validators.luhn_valid(value).alias("ok"))
+
+
+def validate_iban(spark: SparkSession, sf_dir: str) -> DataFrame:
+    value = F.concat(F.lit("GB33BUKB2020155555"), F.substring("d", 1, 4))
+    known = F.when(F.col("id") % 50 == 1, F.lit("GB33BUKB20201555555555")).otherwise(value)
+    return _numbers(spark, sf_dir).select("id", known.alias("value"), validators.iban_valid(known).alias("ok"))
+
+
+def detect_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = with_entities(_cases(spark, sf_dir).withColumn("offset", F.lit(0)), select(list(CASES)))
+    return entities(found).select("doc_id", "line_no", "entity_type", F.col("line_start").cast("long").alias("start"), F.col("line_end").cast("long").alias("end"), "score", F.col("text").alias("value"))
+
+
+def trim_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bracketed, quoted names as a detector would give them."""
+    raw = F.concat(F.lit(" (\""), F.col("c_name"), F.lit("."), F.col("c_mktsegment"), F.lit(".\"), "))
+    c = _table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("id"), raw.alias("raw"))
+    value = S.trimmed(F.col("raw"))
+    return c.select("id", S.trimmed_start(F.col("raw"), F.lit(0)).cast("long").alias("start"), value.alias("value"))
+
+
+def resolve_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans made from order lines: per order, the greedy choice by class, score, length and place."""
+    x = _table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("long").alias("id"), F.col("l_linenumber").cast("int").alias("ordinal"), F.pmod("l_partkey", F.lit(40)).cast("int").alias("start"), (F.pmod("l_suppkey", F.lit(9)) + 1).cast("int").alias("n"), F.pmod("l_partkey", F.lit(2)).cast("int").alias("det"), F.pmod("l_suppkey", F.lit(5)).cast("int").alias("s"))
+    kind = "array<struct<det:int,nscore:int,nlen:int,start:int,ordinal:int,end:int>>"
+    span = F.struct("det", (-F.col("s")).alias("nscore"), (-F.col("n")).alias("nlen"), "start", "ordinal", (F.col("start") + F.col("n")).alias("end"))
+    chosen = x.groupBy("id").agg(F.collect_list(span).alias("spans")).select("id", F.explode(S.resolve(F.col("spans"), kind)).alias("e"))
+    return chosen.select("id", F.col("e.start").cast("long").alias("start"), F.col("e.end").cast("long").alias("end"), F.col("e.ordinal").cast("long").alias("ordinal"))
+
+
+def document_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _entities(spark, sf_dir).select("doc_id", "line_no", "entity_type", F.col("start").cast("long"), F.col("end").cast("long"), "score", F.col("text").alias("value"))
+
+
+def placeholder_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return anonymize.key_table(_entities(spark, sf_dir)).select("doc_id", "placeholder", "entity_type", "original_value", "occurrences", F.col("first_start").cast("long"))
+
+
+def anonymized_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _entities(spark, sf_dir)
+    rows = anonymize.anonymized_lines(_documents(spark, sf_dir), anonymize.replacements(found, anonymize.key_table(found)))
+    return anonymize.joined_text(rows)
+
+
+def counts_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return anonymize.counts_by_type(anonymize.key_table(_entities(spark, sf_dir)))
+
+
+def redaction_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _entities(spark, sf_dir)
+    return anonymize.redaction_pairs(found, anonymize.key_table(found)).select("doc_id", "original_value", "token", F.col("first_start").cast("long"))
+
+
+def reidentify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents rewritten and put back: the text of the lines that were kept."""
+    found = _entities(spark, sf_dir)
+    key = anonymize.key_table(found)
+    text = anonymize.joined_text(anonymize.anonymized_lines(_documents(spark, sf_dir), anonymize.replacements(found, key)))
+    return anonymize.reidentify(text, key).select("doc_id", "text")
+
+
+def court_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The key of the built cases under the court's masks; several values may share a mask."""
+    key = anonymize.key_table(analyze(_cases(spark, sf_dir), select(list(CASES))), masks.COURT)
+    return key.select("doc_id", "placeholder", "entity_type", "original_value", "occurrences", "is_ambiguous")
+
+
+def _mask(f: Callable[[Column], Column], shape: Callable[[Column], Column]) -> Callable[[SparkSession, str], DataFrame]:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        value = shape(F.col("d"))
+        return _numbers(spark, sf_dir).select("id", value.alias("value"), f(value).alias("mask"))
+
+    return query
+
+
+def mask_birth_year(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = _table(spark, sf_dir, "orders")
+    value = F.when(F.col("o_orderkey") % 3 == 0, F.date_format("o_orderdate", "M-d-yy")).otherwise(F.date_format("o_orderdate", "MM/dd/yyyy"))
+    return o.select(F.col("o_orderkey").cast("long").alias("id"), value.alias("value"), masks.birth_year(value).alias("mask"))
+
+
+def mask_initials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = _table(spark, sf_dir, "customer")
+    value = F.concat(F.col("c_name"), F.lit("  "), F.lower("c_mktsegment"), F.lit(" 9x"))
+    return c.select(F.col("c_custkey").cast("long").alias("id"), value.alias("value"), masks.initials(value).alias("mask"))
+
+
+def find_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each order's number as three words of a page's line, found as a run of words."""
+    n = _numbers(spark, sf_dir)
+    texts = F.array(F.lit("SSN"), F.substring("d", 1, 3), F.substring("d", 4, 2), F.substring("d", 6, 4), F.lit("seen"), F.substring("d", 6, 4), F.concat(F.substring("d", 1, 3), F.lit("-"), F.substring("d", 4, 2), F.lit("-"), F.substring("d", 6, 4)))
+    w = n.select(F.col("id").alias("doc_id"), F.posexplode(texts).alias("word_no", "text"))
+    w = w.select("doc_id", F.lit(1).alias("page"), F.lit(0).alias("block"), F.lit(0).alias("line"), "word_no", *(F.lit(0.0).alias(c) for c in ("x0", "y0", "x1", "y1")), "text")
+    hit = runs.find_runs(w, n.select(F.col("id").alias("doc_id"), _ssn(F.col("d")).alias("value")))
+    return hit.select("doc_id", "value", F.col("first_word").cast("long"), F.col("last_word").cast("long"))
+
+
+def _labels(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Labels of nations and customers' numbers against what was "detected" of suppliers' and orders'."""
+    nation, numbers = _table(spark, sf_dir, "nation"), _numbers(spark, sf_dir)
+    expected = nation.select(F.lit("LOCATION").alias("entity_type"), F.col("n_name").alias("value")).unionByName(numbers.where("id % 5 = 0").select(F.lit("US_SSN").alias("entity_type"), _ssn(F.col("d")).alias("value")))
+    detected = nation.where("n_nationkey % 2 = 0").select(F.lit("GPE").alias("entity_type"), F.concat(F.lit("  "), F.lower("n_name"), F.lit(" state ")).alias("value"))
+    detected = detected.unionByName(numbers.where("id % 3 = 0").select(F.when(F.col("id") % 2 == 0, "US_SSN").otherwise("US_EIN").alias("entity_type"), F.col("d").alias("value")))
+    return expected, detected
+
+
+def recall_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return measure.recall_by_type(measure.hits(*_labels(spark, sf_dir)))
+
+
+def precision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return measure.precision(*_labels(spark, sf_dir))
+
+
+def missed_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return measure.missed_labels(measure.hits(*_labels(spark, sf_dir)))
+
+
+def highlighted_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = with_entities(_documents(spark, sf_dir), select(list(FOUND))).where(F.size("entities") > 0)
+    return highlighted_lines(found)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    """All queries by name."""
+    dashed = lambda d: F.concat(F.substring(d, 1, 2), F.lit("-"), F.substring(d, 3, 7))
+    same = lambda d: d
+    plain = (
+        lines, global_offsets, validate_luhn, validate_iban, detect_cases, trim_spans, resolve_overlaps, document_entities, placeholder_key, anonymized_text, counts_by_type,
+        redaction_pairs, reidentify, court_key, mask_birth_year, mask_initials, find_runs, recall_by_type, precision, missed_labels, highlighted_html,
+    )
+    return {f.__name__: f for f in plain} | {
+        "detect_email": _detect("EMAIL_ADDRESS"), "detect_phone": _detect("PHONE_NUMBER"), "detect_ip": _detect("IP_ADDRESS"), "detect_card_luhn": _detect("CREDIT_CARD"),
+        "validate_ssn": _validate(validators.ssn_valid, _ssn), "validate_ein": _validate(validators.ein_valid, dashed), "validate_aba": _validate(validators.aba_valid, same),
+        "mask_ssn": _mask(masks.mask_ssn, _ssn), "mask_account": _mask(masks.mask_account, lambda d: F.when(F.substring(d, 9, 1) == "0", F.lit("A12")).otherwise(F.concat(F.lit("DE 44 "), d))),
+    }
