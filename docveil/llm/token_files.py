@@ -66,7 +66,7 @@ def count_tokens(files: DataFrame, end_id: int, dtype: str = "<u2", block: int =
                 if size % wide:
                     raise ValueError(f"{path}: {size} bytes are no whole ids")
                 n = (size // wide + block - 1) // block
-                yield pa.RecordBatch.from_pydict({"path": [path] * n, "block": pa.array(np.arange(n))})
+                yield pa.RecordBatch.from_pydict({"path": pa.array([path] * n, pa.string()), "block": pa.array(np.arange(n))})
 
     def scan(it):
         for b in it:
