@@ -36,4 +36,4 @@ def process_files(spark: SparkSession, *paths: str, policy: Policy | None = None
     """A result and (path, content) of the rewritten files."""
     done = process_lines(office.read_files(spark, *paths), policy, threshold)
     files = spark.read.format("binaryFile").load(list(paths)).select("path", "content")
-    return done, office.rewritten_files(files, done.rewritten.select("doc_id", "source", "text"))
+    return done, office.rewritten_files(files, done.rewritten.select("doc_id", "source", "text"), A.redaction_pairs(done.entities, done.key))

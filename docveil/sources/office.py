@@ -1,4 +1,4 @@
-"""Word and Excel files as lines, and rewritten with new text, by the standard library."""
+"""Word, Excel and PDF files as lines, and rewritten with new text, by the standard library."""
 
 from __future__ import annotations
 
@@ -11,10 +11,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docveil.sources.pdf import pdf_lines, pdf_words, redact_pdf
+
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 S = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 R = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
-SUPPORTED = (".docx", ".xlsx")
+SUPPORTED = (".pdf", ".docx", ".xlsx")
 SCHEMA = "doc_id string, line_no int, text string, source string"
 
 
@@ -163,8 +165,9 @@ def rewrite_xlsx(data: bytes, texts: dict[str, str]) -> bytes:
     return _rezip(data, changed)
 
 
-READ = {".docx": docx_lines, ".xlsx": xlsx_lines}
+READ = {".pdf": pdf_lines, ".docx": docx_lines, ".xlsx": xlsx_lines}
 REWRITE = {".docx": rewrite_docx, ".xlsx": rewrite_xlsx}
+WORDS = "doc_id string, page int, block int, line int, word_no int, x0 double, y0 double, x1 double, y1 double, text string"
 
 
 def kind_of(path: str) -> str:
@@ -193,13 +196,37 @@ def read_files(spark: SparkSession, *paths: str) -> DataFrame:
     return spark.read.format("binaryFile").load(list(paths)).select("path", "content").mapInPandas(run, SCHEMA)
 
 
-def rewritten_files(files: DataFrame, lines: DataFrame) -> DataFrame:
-    """(path, content): ``files`` (path, content) with the text of ``lines`` (doc_id, source, text)."""
-    texts = lines.groupBy(F.col("doc_id").alias("path")).agg(F.map_from_entries(F.collect_list(F.struct("source", "text"))).alias("texts"))
+def read_words(spark: SparkSession, *paths: str) -> DataFrame:
+    """The words of PDF files with their places, for ``operators.runs.find_runs``."""
+
+    def run(it):
+        for b in it:
+            for path, content in zip(b["path"], b["content"], strict=True):
+                yield pd.DataFrame([(path, *w) for w in pdf_words(bytes(content))], columns=[c.split()[0] for c in WORDS.split(", ")])
+
+    return spark.read.format("binaryFile").load(list(paths)).select("path", "content").mapInPandas(run, WORDS)
+
+
+def rewritten_files(files: DataFrame, lines: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(path, content): ``files`` (path, content) rewritten.
+
+    Word and Excel files get the text of ``lines`` (doc_id, source, text), PDF files have the
+    values of ``pairs`` (doc_id, original_value, token, first_start) replaced.
+    """
+    texts = lines.where(~F.lower("doc_id").endswith(".pdf")).groupBy(F.col("doc_id").alias("path")).agg(F.map_from_entries(F.collect_list(F.struct("source", "text"))).alias("texts"))
+    pair = F.struct("first_start", "original_value", "token")
+    found = pairs.groupBy(F.col("doc_id").alias("path")).agg(F.array_sort(F.collect_list(pair)).alias("pairs"))
+
+    def rewrite(path: str, content: bytes, texts, pairs) -> bytes:
+        kind = kind_of(path)
+        if kind == ".pdf":
+            return redact_pdf(content, [(p["original_value"], p["token"]) for p in pairs] if pairs is not None else [])[0]
+        return REWRITE[kind](content, dict(texts) if texts is not None else {})
 
     def run(it):
         for b in it:
-            new = [REWRITE[kind_of(p)](bytes(c), dict(t) if t is not None else {}) for p, c, t in zip(b["path"], b["content"], b["texts"], strict=True)]
+            new = [rewrite(p, bytes(c), t, v) for p, c, t, v in zip(b["path"], b["content"], b["texts"], b["pairs"], strict=True)]
             yield pd.DataFrame({"path": b["path"], "content": new})
 
-    return files.join(texts, "path", "left").select("path", "content", "texts").mapInPandas(run, "path string, content binary")
+    both = files.join(texts, "path", "left").join(found, "path", "left")
+    return both.select("path", "content", "texts", "pairs").mapInPandas(run, "path string, content binary")
