@@ -54,6 +54,16 @@ def counts_by_type(key: DataFrame) -> DataFrame:
     return key.groupBy("doc_id", "entity_type").agg(F.count("*").alias("n_values"))
 
 
+def totals(key: DataFrame) -> DataFrame:
+    """(doc_id, n_values): distinct values of all types per document."""
+    return key.groupBy("doc_id").agg(F.count("*").alias("n_values"))
+
+
+def chips(key: DataFrame) -> DataFrame:
+    """(entity_type, n_values) over all documents, the most first."""
+    return key.groupBy("entity_type").agg(F.count("*").alias("n_values")).orderBy(F.desc("n_values"), "entity_type")
+
+
 def redaction_pairs(entities: DataFrame, key: DataFrame) -> DataFrame:
     """(doc_id, original_value, token, first_start): one token per value whatever its type, that
     of the first occurrence."""

@@ -59,10 +59,14 @@ def entities_of(text: Column, detectors: tuple[Detector, ...] = DETECTORS, thres
 
 
 def with_entities(lines: DataFrame, detectors: tuple[Detector, ...] = DETECTORS, threshold: float = THRESHOLD) -> DataFrame:
-    """``lines`` with an array column ``entities``; narrow, so it runs on streams too."""
+    """``lines`` with an array column ``entities``; narrow, so it runs on streams too.
+
+    A column ``extra`` (an array of ``KIND``) holds spans from elsewhere that join the choice.
+    """
+    extra = F.col("extra") if "extra" in lines.columns else None
     few = F.col("text").rlike("[0-9@]|://")
-    none = F.array().cast(f"array<{KIND}>")
-    return lines.withColumn("entities", F.when(few, entities_of(F.col("text"), detectors, threshold)).otherwise(none))
+    none = F.array().cast(f"array<{KIND}>") if extra is None else S.resolve(extra, f"array<{KIND}>")
+    return lines.withColumn("entities", F.when(few, entities_of(F.col("text"), detectors, threshold, extra)).otherwise(none))
 
 
 def with_offsets(lines: DataFrame) -> DataFrame:

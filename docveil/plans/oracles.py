@@ -170,6 +170,9 @@ SELECT count(*) AS detected, count(*) FILTER (hit) AS true_hits, CAST(count(*) F
         "document_entities": f'{_BASE} SELECT doc_id, line_no, entity_type, s AS start, e AS "end", score, value FROM placed',
         "placeholder_key": f"{_BASE}, {_key()} SELECT doc_id, token AS placeholder, entity_type, value AS original_value, occurrences, first.s AS first_start FROM key",
         "counts_by_type": f"{_BASE}, {_key()} SELECT doc_id, entity_type, count(*) AS n_values FROM key GROUP BY doc_id, entity_type",
+        "totals": f"{_BASE}, {_key()} SELECT doc_id, count(*) AS n_values FROM key GROUP BY doc_id",
+        "chips": f"{_BASE}, {_key()} SELECT entity_type, count(*) AS n_values FROM key GROUP BY entity_type",
+        "dictionary": "SELECT CAST(c_custkey AS BIGINT) AS doc_id, 'PERSON' AS entity_type, CAST(6 AS BIGINT) AS start, CAST(6 + length(c_name) AS BIGINT) AS \"end\", c_name AS value FROM customer WHERE c_custkey % 3 = 0",
         "redaction_pairs": f"{_BASE}, {_key()} SELECT doc_id, value AS original_value, arg_min(token, {{'s': first.s, 'e': first.e, 't': entity_type}}) AS token, min(first.s) AS first_start FROM key GROUP BY doc_id, value",
         "anonymized_text": f"""{_BASE}, {_key()}, tok AS (SELECT placed.*, token FROM placed JOIN key USING (doc_id, entity_type, value)), {_rewritten("tok")}
 SELECT doc_id, string_agg(coalesce(head || substr(text, CAST(en + 1 AS INTEGER)), text), chr(10) ORDER BY line_no) AS text FROM line LEFT JOIN part USING (doc_id, line_no) GROUP BY doc_id""",

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from docveil.functions import masks, validators
 from docveil.functions import spans as S
 from docveil.operators import anonymize, measure, runs
-from docveil.operators.detect import analyze, entities, with_entities, with_offsets
+from docveil.operators.detect import analyze, dictionary as find_terms, entities, with_entities, with_offsets
 from docveil.operators.registry import select
 from docveil.sinks.html import highlighted_lines
 from docveil.sources.text import lines_of
@@ -132,6 +132,23 @@ def counts_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     return anonymize.counts_by_type(anonymize.key_table(_entities(spark, sf_dir)))
 
 
+def totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return anonymize.totals(anonymize.key_table(_entities(spark, sf_dir)))
+
+
+def chips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return anonymize.chips(anonymize.key_table(_entities(spark, sf_dir)))
+
+
+def dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers' names in lines about them."""
+    c = _table(spark, sf_dir, "customer")
+    text = F.concat(F.lit("Buyer "), F.col("c_name"), F.lit(", of "), F.col("c_mktsegment"), F.lit("."))
+    rows = c.select(F.col("c_custkey").cast("long").alias("doc_id"), F.lit(0).alias("line_no"), text.alias("text"))
+    found = find_terms(rows, c.where("c_custkey % 3 = 0").select(F.col("c_name").alias("term")), "PERSON")
+    return found.select("doc_id", "entity_type", F.col("line_start").cast("long").alias("start"), F.col("line_end").cast("long").alias("end"), F.col("text").alias("value"))
+
+
 def redaction_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = _entities(spark, sf_dir)
     return anonymize.redaction_pairs(found, anonymize.key_table(found)).select("doc_id", "original_value", "token", F.col("first_start").cast("long"))
@@ -212,7 +229,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     dashed = lambda d: F.concat(F.substring(d, 1, 2), F.lit("-"), F.substring(d, 3, 7))
     same = lambda d: d
     plain = (
-        lines, global_offsets, validate_luhn, validate_iban, detect_cases, trim_spans, resolve_overlaps, document_entities, placeholder_key, anonymized_text, counts_by_type,
+        lines, global_offsets, validate_luhn, validate_iban, detect_cases, trim_spans, resolve_overlaps, document_entities, placeholder_key, anonymized_text, counts_by_type, totals, chips, dictionary,
         redaction_pairs, reidentify, court_key, mask_birth_year, mask_initials, find_runs, recall_by_type, precision, missed_labels, highlighted_html,
     )
     return {f.__name__: f for f in plain} | {

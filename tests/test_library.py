@@ -6,10 +6,12 @@ from pyspark.sql import functions as F
 
 from docveil.functions import masks
 from docveil.operators import anonymize, measure, runs
-from docveil.operators.detect import analyze, dictionary, with_offsets
+from docveil.operators.detect import analyze, dictionary, entities, with_entities, with_offsets
+from docveil.operators.external import recognized, with_listed
 from docveil.operators.registry import select
 from docveil.pipeline import process_files, process_lines
 from docveil.sinks import html, tables
+from docveil.sinks.files import write_files
 from docveil.sources import office, samples
 from docveil.sources.text import lines_of
 from docveil.streaming.detect import stream_entities
@@ -214,3 +216,35 @@ def test_streaming(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {(r.entity_type, r.text) for r in spark.sql("select * from seen").collect()} == {("US_SSN", "536-90-4788"), ("EMAIL_ADDRESS", "a@b.example")}
+
+
+def test_recognizer_from_outside(spark):
+    def load():
+        import re
+
+        return lambda text: [("PERSON", m.start(), m.end(), 0.85) for m in re.finditer(r"\(?[A-Z]\w+ [A-Z]\w+,?", text)] + [("ORG", 0, 99, 0.9), ("ORG", 0, 3, 0.1)]
+
+    rows = recognized(lines(spark, "By (Sarah Chen, a@b.example", "none 1").withColumn("offset", F.lit(0)), load)
+    got = [(r.entity_type, r.text, r.start) for r in entities(with_entities(rows, select(["EMAIL_ADDRESS"]))).orderBy("start").collect()]
+    assert got == [("PERSON", "Sarah Chen", 4), ("EMAIL_ADDRESS", "a@b.example", 16)]
+
+
+def test_listed_terms_join_the_choice(spark):
+    terms = spark.createDataFrame([("Rome",), ("a@b.example",)], "term string")
+    rows = lines(spark, "In Rome a@b.example").withColumn("offset", F.lit(0))
+    both = with_listed(rows, dictionary(rows, terms, "LOCATION"))
+    got = [(r.entity_type, r.text) for r in entities(with_entities(both, select(["EMAIL_ADDRESS"]))).orderBy("start").collect()]
+    assert got == [("LOCATION", "Rome"), ("EMAIL_ADDRESS", "a@b.example")]
+
+
+def test_evaluate_per_document(spark):
+    labels = spark.createDataFrame([("x", "EMAIL_ADDRESS", "a@b.example"), ("y", "EMAIL_ADDRESS", "a@b.example")], "doc_id string, entity_type string, value string")
+    seen = spark.createDataFrame([("x", "EMAIL_ADDRESS", "a@b.example")], "doc_id string, entity_type string, text string")
+    recall = lambda per: {r.entity_type: r.value_recall for r in measure.evaluate(seen, labels, per)[0].collect()}["ALL"]
+    assert (recall(False), recall(True)) == (1.0, 0.5)
+
+
+def test_write_files(spark, tmp_path):
+    rows = spark.createDataFrame([("/in/a.docx", bytearray(b"one"))], "path string, content binary")
+    assert write_files(rows, f"file://{tmp_path}/out").first().written.endswith("/out/a.docx")
+    assert (tmp_path / "out" / "a.docx").read_bytes() == b"one" and len(list((tmp_path / "out").iterdir())) == 1
