@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,15 +17,22 @@ def only_digits(v: Column) -> Column:
     return F.regexp_replace(v, "[^0-9]", "")
 
 
+def _let(v: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that it may use often and that is evaluated once."""
+    return F.get(F.transform(F.array(v), f), F.lit(0))
+
+
 def luhn_valid(v: Column) -> Column:
     """12 to 19 digits whose Luhn sum is a multiple of ten."""
-    d = only_digits(v)
-    return F.length(d).between(12, 19) & F.call_function("luhn_check", d)
+    return _let(only_digits(v), lambda d: F.length(d).between(12, 19) & F.call_function("luhn_check", d))
 
 
 def aba_valid(v: Column) -> Column:
     """Nine digits with an assigned prefix and weights 3, 7, 1 summing to a multiple of ten."""
-    d = only_digits(v)
+    return _let(only_digits(v), _aba)
+
+
+def _aba(d: Column) -> Column:
     at = lambda i: F.substring(d, i, 1).cast("int")
     total = sum((at(i) * (3, 7, 1)[(i - 1) % 3] for i in range(2, 10)), at(1) * 3)
     prefix = F.substring(d, 1, 2).cast("int")
@@ -35,15 +44,15 @@ def aba_valid(v: Column) -> Column:
 
 def ssn_valid(v: Column) -> Column:
     """Nine digits whose area, group and serial can have been issued."""
-    d = only_digits(v)
-    area, group, serial = F.substring(d, 1, 3), F.substring(d, 4, 2), F.substring(d, 6, 4)
-    return (F.length(d) == 9) & ~area.isin("000", "666") & (area < "900") & (group != "00") & (serial != "0000")
+    area, group, serial = (lambda d, i=i, n=n: F.substring(d, i, n) for i, n in ((1, 3), (4, 2), (6, 4)))
+    issued = lambda d: ~area(d).isin("000", "666") & (area(d) < "900") & (group(d) != "00") & (serial(d) != "0000")
+    return _let(only_digits(v), lambda d: (F.length(d) == 9) & issued(d))
 
 
 def ein_valid(v: Column) -> Column:
     """Nine digits with an assigned prefix."""
-    d = only_digits(v)
-    return (F.length(d) == 9) & ~F.substring(d, 1, 2).isin(*(f"{p:02d}" for p in EIN_UNASSIGNED))
+    prefixes = [f"{p:02d}" for p in EIN_UNASSIGNED]
+    return _let(only_digits(v), lambda d: (F.length(d) == 9) & ~F.substring(d, 1, 2).isin(*prefixes))
 
 
 def iban_valid(v: Column) -> Column:

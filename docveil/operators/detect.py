@@ -18,7 +18,7 @@ KIND = "struct<det:int,nscore:double,nlen:int,start:int,ordinal:int,end:int,enti
 def _near(text: Column, start: Column, words: tuple[str, ...]) -> Column:
     """A context word among the ``WINDOW`` blank-separated tokens before a place in the line."""
     tokens = F.filter(F.split(F.substring(text, F.lit(1), start), r"\s+"), lambda t: t != "")
-    last = F.array_join(F.slice(tokens, F.greatest(F.size(tokens) - WINDOW + 1, F.lit(1)), WINDOW), " ")
+    last = F.array_join(F.reverse(F.slice(F.reverse(tokens), 1, WINDOW)), " ")
     either = "|".join(re.escape(w).replace(r"\ ", " ").replace(r"\#", "#") for w in words)
     return F.lower(last).rlike(rf"(?:^|[^a-z0-9])(?:{either})(?:$|[^a-z0-9])")
 
@@ -26,17 +26,17 @@ def _near(text: Column, start: Column, words: tuple[str, ...]) -> Column:
 def detected(text: Column, detector: Detector, ordinal: int, threshold: float = THRESHOLD, boosts: bool = True) -> Column:
     """An array of ``KIND``: a detector's trimmed spans that reach the threshold."""
     found = S.matches(text, detector.pattern)
-    valid = detector.valid or (lambda v: F.lit(None).cast("boolean"))
+    # What is used twice below is a field first, so that it is evaluated and planned once.
+    ok = (lambda v: detector.valid(v)) if detector.valid else (lambda v: F.lit(None).cast("boolean"))
+    judged = F.transform(found, lambda m: F.struct(m["start"].alias("start"), m["value"].alias("value"), ok(m["value"]).alias("ok")))
 
     def score(m: Column) -> Column:
-        ok = valid(m["value"])
-        base = F.when(ok, 1.0).when(~ok, F.lit(None)).otherwise(detector.score)
-        if not (boosts and detector.context):
-            return base
-        return F.when(base < 1.0, F.least(base + F.when(_near(text, m["start"], detector.context), BOOST).otherwise(0.0), F.lit(1.0))).otherwise(base)
+        base = F.lit(detector.score)
+        if boosts and detector.context:
+            base = F.least(base + F.when(_near(text, m["start"], detector.context), BOOST).otherwise(0.0), F.lit(1.0))
+        return F.when(m["ok"], 1.0).when(~m["ok"], F.lit(None)).otherwise(base)
 
-    # The score is one field first, so that its two uses below read and don't repeat it.
-    scored = F.filter(F.transform(found, lambda m: F.struct(m["start"].alias("start"), m["value"].alias("value"), score(m).alias("score"))), lambda m: m["score"] >= threshold)
+    scored = F.filter(F.transform(judged, lambda m: F.struct(m["start"].alias("start"), m["value"].alias("value"), score(m).alias("score"))), lambda m: m["score"] >= threshold)
 
     def entity(m: Column) -> Column:
         start, value = S.trimmed_start(m["value"], m["start"]), S.trimmed(m["value"])
@@ -80,7 +80,8 @@ def entities(found: DataFrame) -> DataFrame:
 
     start and end are places in the document, line_start and line_end in the line.
     """
-    rows = found.select("doc_id", "line_no", "source", "offset", F.explode("entities").alias("e"))
+    # explode would also filter on the array's size below, that is, detect twice.
+    rows = found.select("doc_id", "line_no", "source", "offset", F.explode_outer("entities").alias("e")).where("e is not null")
     return rows.select(
         "doc_id", "line_no", F.col("e.entity_type").alias("entity_type"), (F.col("offset") + F.col("e.start")).alias("start"), (F.col("offset") + F.col("e.end")).alias("end"),
         F.col("e.start").alias("line_start"), F.col("e.end").alias("line_end"), F.col("e.score").alias("score"), F.col("e.text").alias("text"), "source",
