@@ -3,31 +3,49 @@
 from __future__ import annotations
 
 import re
+import sys
+from array import array
 
 import numpy as np
 
 #: White space at which a text is cut: the normalizer makes each one blank, and no token spans it.
 WORD = re.compile(r"[^ \t-\r]+")
-_PLAIN = re.compile(r"[!-~]+")
-_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+#: What ``str.split`` also cuts at; texts with one are cut by ``WORD``.
+_OTHER_BLANK = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+#: Printable ASCII and Latin letters that no normalization changes and whose lower case is one letter.
+_PLAIN = re.compile("[!-~\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u017f]+")
+_PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\u017f]+|[0-9]|[^a-z0-9\xdf-\xf6\xf8-\u017f]+")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary."""
+    kept = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in set(kept)]
+    return {b: chr(b) for b in kept} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+_LETTER = {bytes([b]).decode("latin-1"): c for b, c in _byte_letters().items()}
+_TO_LETTERS = str.maketrans(_LETTER)
 
 
 class Encoder:
     """Encodes as the library does on the whole text; ids are 16-bit.
 
-    Printable ASCII words are lower-cased and cut here as the file's pre-tokenizer does and each
-    piece goes to the library's model; all other words, and those with ``<|``, go to the library
-    whole. This holds for files whose tokens span no white space and depend on none
-    (``Encoder.open`` checks the normalizer and the pattern).
+    Words of printable ASCII and Latin letters are lower-cased and cut here as the file's
+    pre-tokenizer does and each piece goes to the library's model; all other words, and those with
+    ``<|``, go to the library whole. This holds for the normalizer and pattern that are looked
+    for below; with other files each text goes to the library as it is.
     """
 
-    def __init__(self, path: str, plain_specials: bool = False, cache: int = 400_000):
+    def __init__(self, path: str, plain_specials: bool = False, cache: int = 300_000):
         import json
 
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = plain_specials
+        if sys.byteorder != "little":
+            raise ValueError("the ids' bytes are little-endian")
         if self.tok.get_vocab_size() > 1 << 16:
             raise ValueError(f"{path}: more than 65,536 ids")
         with open(path, encoding="utf-8") as f:
@@ -35,7 +53,8 @@ class Encoder:
         kinds = [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])]
         cut = (spec["pre_tokenizer"] or {}).get("pretokenizers", [{}])[0]
         self.fast = kinds == ["NFC", "Replace", "Lowercase"] and cut.get("behavior") == "Removed" and cut.get("pattern", {}).get("Regex") == r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-        self.limit, self.words, self.pieces = cache, _Words(self), {}
+        # Two generations of each cache: a full young one becomes the old one.
+        self.limit, self.words, self.pieces, self.old_pieces = cache, _Words(self, {}), {}, {}
 
     def word(self, w: str) -> bytes:
         """The ids of a word as little-endian 16-bit integers."""
@@ -46,9 +65,12 @@ class Encoder:
     def piece(self, p: str) -> bytes:
         got = self.pieces.get(p)
         if got is None:
-            got = np.asarray([t.id for t in self.tok.model.tokenize(p)], "<u2").tobytes()
+            got = self.old_pieces.get(p)
+            if got is None:
+                letters = p if p.isascii() else p.encode().decode("latin-1").translate(_TO_LETTERS)
+                got = array("H", [t.id for t in self.tok.model.tokenize(letters)]).tobytes()
             if len(self.pieces) >= self.limit:
-                self.pieces.clear()
+                self.old_pieces, self.pieces = self.pieces, {}
             self.pieces[p] = got
         return got
 
@@ -56,17 +78,20 @@ class Encoder:
         if not self.fast:
             return np.asarray(self.tok.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
         if len(self.words) >= self.limit:
-            self.words.clear()
-        return b"".join([self.words[w] for w in WORD.findall(text)])
+            self.words = _Words(self, dict(self.words))
+        words = self.words
+        return b"".join([words[w] for w in (WORD.findall(text) if _OTHER_BLANK.search(text) else text.split())])
 
 
 class _Words(dict):
-    def __init__(self, encoder: Encoder):
+    def __init__(self, encoder: Encoder, old: dict[str, bytes]):
         super().__init__()
-        self.encoder = encoder
+        self.encoder, self.old = encoder, old
 
     def __missing__(self, w: str) -> bytes:
-        got = self.encoder.word(w)
+        got = self.old.get(w)
+        if got is None:
+            got = self.encoder.word(w)
         if len(w) <= 64 and len(self) < 2 * self.encoder.limit:
             self[w] = got
         return got
