@@ -82,7 +82,8 @@ def read_records(source) -> Iterator[tuple[dict[str, str], bytes]]:
             if not more():
                 raise ValueError("a record shorter than its Content-Length")
         while more():
-            pass
+            if len(plain) > size + 4:
+                raise ValueError("a record longer than its Content-Length")
         block = bytes(plain[:size])
         if plain[size:] != b"\r\n\r\n":
             raise ValueError("a record longer than its Content-Length")
