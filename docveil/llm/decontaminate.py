@@ -9,6 +9,8 @@ joined with the benchmark's windows on these, so that a hash collision decides n
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,8 +18,9 @@ from docveil.llm.common import ascii_lower, written
 
 #: What is between words: ASCII without digits and letters, as these texts are lower-cased.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Benchmark hashes that may be in the plan as a set; beyond, they are joined.
-IN_PLAN = 100_000
+#: Benchmark hashes that may be in the plan as a set; more are there as a bitmap of at most ``BITS``
+#: (2 MB), whose false hits the join on the windows' words drops.
+IN_PLAN, BITS = 20_000, 1 << 24
 #: Distinct benchmark windows that may be broadcast.
 BROADCAST_ROWS = 200_000
 
@@ -47,16 +50,32 @@ def _upto(last: Column) -> Column:
     return F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
 
 
-def _starts(h: Column, k: int, w: int, kept: list[int] | None) -> Column:
-    """Starts of the windows whose kept hash is in ``kept``; without it, of all.
-
-    Few grams are in ``kept``, so these are looked up first and only the windows around one are
-    asked whether it is their least.
+def _lookup(windows: DataFrame) -> Callable[[Column], Column]:
+    """A test whether a hash is among the windows' kept ones, exact or by a bitmap."""
+    kept = [r[0] for r in windows.select("kept").distinct().limit(IN_PLAN + 1).collect()]
+    if len(kept) <= IN_PLAN:
+        return lambda h: h.isin(kept)
+    n = windows.select("kept").distinct().count()
+    bits = min(BITS, max(64, 1 << (16 * n).bit_length()))
+    place = F.pmod("kept", F.lit(bits))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int"))
+    words = windows.groupBy(F.expr(f"pmod(kept, {bits}) div 64").alias("w")).agg(F.bit_or(bit).alias("b")).collect()
+    table = [0] * (bits // 64)
+    for r in words:
+        table[r["w"]] = r["b"]
+    literal = F.from_json(F.lit(f"[{','.join(map(str, table))}]"), "array<bigint>")
+    at = lambda h: F.pmod(h, F.lit(bits))
+    return lambda h: F.call_function("bit_get", F.get(literal, F.floor(at(h) / 64).cast("int")), (at(h) % 64).cast("int")) == 1
+
+
+def _starts(h: Column, k: int, w: int, listed: Callable[[Column], Column]) -> Column:
+    """Starts of the windows whose kept hash is ``listed``.
+
+    Few grams are, so these are looked up first and only the windows around one are asked whether
+    it is their least.
     """
     last = F.size(h) - (k + w - 1)
-    if kept is None:
-        return _upto(last)
-    at = F.filter(_upto(F.size(h) - k), lambda i: _gram(h, i, k).isin(kept))
+    at = F.filter(_upto(F.size(h) - k), lambda i: listed(_gram(h, i, k)))
     if w == 1:
         return at
     near = lambda i: F.when(F.least(i, last) >= F.greatest(i - (w - 1), F.lit(0)), F.sequence(F.greatest(i - (w - 1), F.lit(0)), F.least(i, last))).otherwise(F.array().cast("array<int>"))
@@ -89,14 +108,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, length: int = 10, k: in
     for part in parts[1:]:
         windows = windows.unionByName(part)
     windows = written(windows.distinct(), "windows")
-    kept = windows.select("kept").distinct().limit(IN_PLAN + 1)
-    kept = [r[0] for r in kept.collect()]
+    listed = _lookup(windows)
 
     row = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", words(F.col("text")).alias("w"))
     row = row.withColumn("h", F.transform("w", lambda x: F.xxhash64(x)))
 
     def found(n: int) -> Column:
-        at = _starts(F.col("h"), *grams[n], kept if len(kept) <= IN_PLAN else None)
+        at = _starts(F.col("h"), *grams[n], listed)
         window = lambda i: F.struct(i.alias("start"), F.lit(n).alias("len"), _least(F.col("h"), i, *grams[n]).alias("kept"), F.array_join(F.slice("w", i + 1, n), " ").alias("window"))
         return F.transform(at, window)
 
