@@ -12,7 +12,6 @@ computed once. Dropout 0 gives the model's own segmentation.
 
 from __future__ import annotations
 
-import hashlib
 import heapq
 import re
 from dataclasses import dataclass
@@ -41,10 +40,15 @@ def _mix(h: int) -> int:
     return h ^ (h >> 31)
 
 
+def _points(units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The code points of units, one after another, and their numbers."""
+    return np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), "<u4"), np.array([len(u) for u in units], np.int64)
+
+
 class Pieces:
     """A model's pieces, its merges, and the encoder with its cache."""
 
-    def __init__(self, path: str, dropout: float, seed: int, variants: int, cache: int = 500_000):
+    def __init__(self, path: str, dropout: float, seed: int, variants: int, cache: int = 250_000):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -74,16 +78,30 @@ class Pieces:
         self.raw = [bytes([int(t[3:5], 16)]) if sp.is_byte(i) else t.replace("▁", " ").encode() if i in real else b"" for i, t in enumerate(text)]
         self.dropout, self.seed, self.variants, self.limit = dropout, seed, variants, cache
         self.below = min(_M, int(dropout * 2.0**64))
+        # Two generations of the cache: a full young one becomes the old one.
         self.known: list[dict[str, bytes]] = [{} for _ in range(variants)]
-        self.secret = hashlib.blake2b(str(seed).encode(), digest_size=16).digest()
+        self.old = self.known
+        # By code point: a symbol, or a negative one for a character of no piece.
+        self.table = -1 - np.arange(0x110000, dtype=np.int64)
+        for c, i in self.symbol.items():
+            self.table[ord(c)] = i
+        self.table[0x20], self.table[0x2581] = self.table[0x2581], -1 - 0x2581
+
+    def word_keys(self, units: list[str], variants: list[int]) -> np.ndarray:
+        """A keyed hash of each unit and variant, from its code points and their places."""
+        points, size = _points(units)
+        place = np.arange(len(points)) - np.repeat(np.cumsum(size) - size, size)
+        secret = np.uint64(_mix((self.seed * _C[1] + _C[2]) & _M))
+        h = mix(points.astype(np.uint64) * np.uint64(_C[0]) + place.astype(np.uint64) * np.uint64(_C[1]) + secret)
+        total = np.add.reduceat(h, np.cumsum(size) - size) if len(units) else h
+        return mix(total ^ mix(np.array(variants, np.uint64) * np.uint64(_C[2]) + size.astype(np.uint64) + secret))
 
     def word_key(self, unit: str, variant: int) -> int:
-        return int.from_bytes(hashlib.blake2b(unit.encode("utf-8", "surrogatepass"), digest_size=8, key=self.secret, salt=variant.to_bytes(8, "little")).digest(), "little")
+        return int(self.word_keys([unit], [variant])[0])
 
     def symbols(self, unit: str) -> list[int]:
-        """A symbol per character; a negative one for a character of no piece."""
-        get = self.symbol.get
-        return [get(c, -1 - ord(c)) for c in unit.replace(" ", "▁")] if unit != "▁" else [-1 - 0x2581]
+        """A symbol per character."""
+        return self.table[_points([unit])[0]].tolist()
 
     def spell(self, symbols: list[int]) -> bytes:
         out = []
@@ -123,11 +141,10 @@ class Pieces:
             offer(before[i])
         return self.spell([s for s, ok in zip(sym, live, strict=True) if ok])
 
-    def many(self, units: list[str], keys: list[int]) -> list[bytes]:
+    def many(self, units: list[str], keys: list[int] | np.ndarray) -> list[bytes]:
         """The ids of short units; each round merges the best candidate of every unit."""
-        per = [self.symbols(u) for u in units]
-        size = np.array([len(p) for p in per])
-        sym = np.array([s for p in per for s in p], np.int64)
+        points, size = _points(units)
+        sym = self.table[points]
         word = np.repeat(np.arange(len(units)), size)
         start = np.arange(len(sym)) - np.repeat(np.cumsum(size) - size, size)
         end, key = start + 1, np.array(keys, np.uint64)
@@ -165,32 +182,39 @@ class Pieces:
     def encode(self, doc_keys: list[int], texts: list[str]) -> list[bytes]:
         """The ids (little-endian, 16 bits) of each text."""
         if sum(map(len, self.known)) > self.limit:
-            self.known = [{} for _ in range(self.variants)]
+            self.old, self.known = self.known, [{} for _ in range(self.variants)]
         cut, missing = [], {}
         for key, text in zip(doc_keys, texts, strict=True):
             units = UNIT.findall(" " + text) if text else []
+            pick = [0] * len(units)
             if self.variants > 1:
-                pick = mix(np.arange(len(units), dtype=np.uint64) * np.uint64(_C[0]) + np.uint64(_mix((key ^ self.seed) & _M))) % np.uint64(self.variants)
-                tables = [self.known[v] for v in pick.tolist()]
-                for v, (t, u) in zip(pick.tolist(), zip(tables, units, strict=True), strict=True):
-                    if u not in t:
-                        missing[v, u] = None
-            else:
-                tables = [self.known[0]] * len(units)
-                missing.update(((0, u), None) for u in units if u not in self.known[0])
-            cut.append((tables, units))
-        short = [k for k in missing if len(k[1]) <= LONG]
+                draw = np.arange(len(units), dtype=np.uint64) * np.uint64(_C[0]) + np.uint64(_mix((key ^ self.seed) & _M))
+                pick = (mix(draw) % np.uint64(self.variants)).tolist()
+            known = self.known
+            got = [known[v].get(u) for v, u in zip(pick, units, strict=True)]
+            holes = []
+            if None in got:
+                holes = [(i, (pick[i], units[i])) for i, g in enumerate(got) if g is None]
+                missing.update((k, None) for _, k in holes)
+            cut.append((got, holes))
+        fresh = [k for k in missing if k[1] not in self.old[k[0]]]
+        short = [k for k in fresh if len(k[1]) <= LONG]
+        for k in missing.keys() - set(fresh):
+            missing[k] = self.old[k[0]][k[1]]
         for i in range(0, len(short), 20_000):
             part = short[i : i + 20_000]
-            for (v, u), ids in zip(part, self.many([u for _, u in part], [self.word_key(u, v) for v, u in part]), strict=True):
+            units = [u for _, u in part]
+            missing.update(zip(part, self.many(units, self.word_keys(units, [v for v, _ in part])), strict=True))
+        for k in fresh:
+            if len(k[1]) > LONG:
+                missing[k] = self.one(k[1], self.word_key(k[1], k[0]))
+        for (v, u), ids in missing.items():
+            if len(u) <= LONG:
                 self.known[v][u] = ids
-        long = {k: self.one(k[1], self.word_key(k[1], k[0])) for k in missing if len(k[1]) > LONG}
-        for (v, u), ids in long.items():
-            self.known[v][u] = ids
-        out = [b"".join([t[u] for t, u in zip(*c, strict=True)]) for c in cut]
-        for v, u in long:
-            del self.known[v][u]
-        return out
+        for got, holes in cut:
+            for i, k in holes:
+                got[i] = missing[k]
+        return [b"".join(got) for got, _ in cut]
 
     def decode(self, ids: np.ndarray) -> str:
         raw = self.raw
