@@ -16,6 +16,7 @@ the task.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from math import comb
 
@@ -56,6 +57,12 @@ class NearDedup:
         mul, add = (np.random.default_rng((self.seed, i)).integers(1, 2**63, size, dtype=np.uint64) for i in (0, 1))
         return mul * np.uint64(2) + np.uint64(1), add
 
+    def folding(self) -> Callable[[np.ndarray], np.ndarray]:
+        """The hash of each band, from the MinHashes of a text."""
+        fold = np.random.default_rng(self.seed).integers(1, 2**63, self.rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        salt = mix(np.arange(1, self.bands + 1, dtype=np.uint64))
+        return lambda least: mix((least.reshape(self.bands, self.rows) * fold).sum(axis=1) ^ salt).view(np.int64)
+
     def least_matches(self, hashes: int) -> list[tuple[int, int]]:
         """(m, n): after m of the 8-bit hashes, a pair with fewer than n equal ones is dropped.
 
@@ -93,10 +100,8 @@ def signatures(docs: DataFrame, p: NearDedup) -> DataFrame:
     """
     schema = "doc_id long, th long, n long, f1 long, f2 long, bands array<long>, sig binary"
     mul, add = p.functions(p.hashes)
-    rng = np.random.default_rng(p.seed)
-    fold = rng.integers(1, 2**63, p.rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    salt = mix(np.arange(1, p.bands + 1, dtype=np.uint64))
-    two = rng.integers(1, 2**63, 2, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    bands_of = p.folding()
+    two = np.random.default_rng((p.seed, 2)).integers(1, 2**63, 2, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
     def sign(it):
         typ = pa.struct([("doc_id", pa.int64()), ("th", pa.int64()), ("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("bands", pa.list_(pa.int64())), ("sig", pa.binary())])
@@ -109,7 +114,7 @@ def signatures(docs: DataFrame, p: NearDedup) -> DataFrame:
                     f1.append(0), f2.append(0), bands.append(None), sig.append(None)
                     continue
                 least = _least(s, mul, add)
-                bands.append(mix((least.reshape(p.bands, p.rows) * fold).sum(axis=1) ^ salt).view(np.int64))
+                bands.append(bands_of(least))
                 sig.append((least >> np.uint64(56)).astype(np.uint8).tobytes())
                 f = [int(mix(s * t).sum()) & (2**64 - 1) for t in two]
                 f1.append(f[0] - (f[0] >> 63 << 64)), f2.append(f[1] - (f[1] >> 63 << 64))
@@ -198,22 +203,26 @@ def _shared(rest: DataFrame, text: DataFrame, p: NearDedup) -> DataFrame:
 def _crossing(rest: DataFrame, text: DataFrame, p: NearDedup) -> DataFrame:
     """Pairs (a, b) of ``rest`` (bucket, band, node, comp, n, hi) that signatures leave.
 
-    A pair is formed once, in the first band that both share. A bucket of many is cut into blocks
-    by a hash, and each pair of blocks is a task's group of at most about two blocks.
+    A pair is formed once, in the first band whose bucket hash both share. A bucket of many is cut
+    into blocks by a hash, and each pair of blocks is a task's group of at most about two blocks.
     """
     mul, add = p.functions(p.wide)
+    bands_of = p.folding()
     steps = p.least_matches(p.wide)
 
     def widen(it):
         for whole in it:
             for x in batches([whole], 64):
-                sig = [(_least(shingle_set(d, p.words), mul, add) >> np.uint64(56)).astype(np.uint8).tobytes() for d in text_bytes(x.column(1))]
-                yield pa.RecordBatch.from_arrays([x.column(0), pa.array(sig, pa.binary())], names=["node", "sig"])
+                least = [_least(shingle_set(d, p.words), mul, add) for d in text_bytes(x.column(1))]
+                sig = [(v >> np.uint64(56)).astype(np.uint8).tobytes() for v in least]
+                bands = [bands_of(v[: p.hashes]).tobytes() for v in least]
+                yield pa.RecordBatch.from_arrays([x.column(0), pa.array(sig, pa.binary()), pa.array(bands, pa.binary())], names=["node", "sig", "bands"])
 
     def compare(t: pa.Table) -> pa.Table:
         node, comp, n, hi, c, i, j, band = (t.column(k).to_numpy() for k in ("node", "comp", "n", "hi", "c", "i", "j", "band"))
         sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(len(node), p.wide)
-        first, out = int(band[0]) * p.rows, []
+        bands = np.frombuffer(b"".join(t.column("bands").to_pylist()), np.int64).reshape(len(node), p.bands)[:, : int(band[0])]
+        out = []
         left, right = (np.flatnonzero(c == k[0]) for k in (i, j))
         for at in range(0, len(left), 64):
             u, v = left[at : at + 64, None], right[None, :]
@@ -224,20 +233,21 @@ def _crossing(rest: DataFrame, text: DataFrame, p: NearDedup) -> DataFrame:
             x, y = left[at + x], right[y]
             seen, done = np.zeros(len(x), np.int64), 0
             for m, least in steps:
-                same = sig[x, done:m] == sig[y, done:m]
-                earlier = same[:, : max(0, min(m, first) - done)]
-                fresh = ~earlier.reshape(len(x), -1, p.rows).all(axis=2).any(axis=1) if earlier.size else True
-                seen = seen + same.sum(axis=1)
-                stay = (seen >= least) & fresh
-                x, y, seen, done = x[stay], y[stay], seen[stay], m
+                seen = seen + (sig[x, done:m] == sig[y, done:m]).sum(axis=1)
+                stay = seen >= least
+                x, y, seen = x[stay], y[stay], seen[stay]
+                if not done:
+                    fresh = ~(bands[x] == bands[y]).any(axis=1)
+                    x, y, seen = x[fresh], y[fresh], seen[fresh]
+                done = m
             out.append(np.stack([np.minimum(node[x], node[y]), np.maximum(node[x], node[y])]))
         a, b = np.concatenate(out, axis=1) if out else np.empty((2, 0), np.int64)
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     size = rest.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).alias("k"))
-    rows = rest.join(written(size, "size"), "bucket").join(written(text.mapInArrow(widen, "node long, sig binary"), "wide"), "node")
+    rows = rest.join(written(size, "size"), "bucket").join(written(text.mapInArrow(widen, "node long, sig binary, bands binary"), "wide"), "node")
     rows = rows.withColumn("c", F.expr("pmod(xxhash64(node), k)")).withColumn("o", F.explode(F.expr("sequence(0L, k - 1)")))
-    rows = rows.select("bucket", "band", "node", "comp", "n", "hi", "sig", "c", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"))
+    rows = rows.select("bucket", "band", "node", "comp", "n", "hi", "sig", "bands", "c", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"))
     return rows.groupBy("bucket", "i", "j").applyInArrow(compare, "a long, b long").distinct()
 
 

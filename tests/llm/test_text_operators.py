@@ -1,12 +1,14 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from docveil.llm.decontaminate import decontaminate
-from docveil.llm.near_dedup import NearDedup, near_duplicates
+from docveil.llm.near_dedup import NearDedup, _crossing, _least, near_duplicates, signatures
 from docveil.llm.pii import find_pii, masked, pii_spans
 from docveil.llm.quality import fit, held_out, scored
+from docveil.llm.shingles import shingle_set
 from tests.llm import brute
 
 DOCS = "doc_id long, text string, node string, comp long, bucket string"
@@ -48,6 +50,29 @@ def test_near_duplicates_odd_rows(spark):
     assert near_duplicates(docs(spark, [])).count() == 0
 
 
+def test_near_duplicates_cross_despite_equal_low_bytes(spark):
+    """Pairs whose signature bytes agree in a band that they do not share are formed in a later one."""
+    p, rng, rows, n = NearDedup(), random.Random(11), [], 0
+    (mul, add), bands_of = p.functions(p.hashes), p.folding()
+    for k in range(20_000):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(60)]
+        two = [noisy(rng, base, 0), noisy(rng, base, 1)]
+        u, v = (_least(shingle_set(np.frombuffer(t.encode(), np.uint8), p.words), mul, add) for t in two)
+        shared = np.flatnonzero(bands_of(u) == bands_of(v))
+        byte = ((u >> np.uint64(56)) == (v >> np.uint64(56))).reshape(p.bands, p.rows).all(axis=1)
+        if len(shared) and byte[: shared[0]].any():
+            rows += [(2 * k, two[0]), (2 * k + 1, two[1])]
+            n += 1
+            if n == 3:
+                break
+    assert n == 3
+    sigs = signatures(docs(spark, rows), p).select(F.col("doc_id").alias("node"), "n", F.posexplode("bands").alias("band", "bucket"))
+    text = spark.createDataFrame(rows, "node long, text string")
+    rest = sigs.select("bucket", "band", "node", F.col("node").alias("comp"), F.col("n").cast("long"), F.lit(10**6).cast("long").alias("hi"))
+    got = {(r.a, r.b) for r in _crossing(rest, text, p).collect()}
+    assert got == {(a, a + 1) for a, _ in rows[::2]}
+
+
 def test_bayes_bounds_grow():
     steps = NearDedup().least_matches(128)
     assert [m for m, _ in steps] == [32, 64, 96, 128] and all(0 < n < m for m, n in steps)
