@@ -29,7 +29,7 @@ from docveil.llm.common import batches, written
 from docveil.llm.components import components
 from docveil.llm.shingles import mix, shingle_set, text_bytes
 
-#: Rows of (node, text hash) that may be broadcast: 16 MB.
+#: Rows of (node, doc_id, text hash) that may be broadcast: 24 MB.
 BROADCAST_ROWS = 1_000_000
 #: Members of a bucket that one task compares with as many others.
 BLOCK = 1024
@@ -126,9 +126,9 @@ def signatures(docs: DataFrame, p: NearDedup) -> DataFrame:
 
 
 def _alike(pairs: DataFrame, sigs: DataFrame, p: NearDedup) -> DataFrame:
-    """Pairs (a, b, tha, thb) that the sequential comparison of signatures leaves."""
-    a = sigs.select(F.col("node").alias("a"), F.col("th").alias("tha"), F.col("sig").alias("sa"))
-    b = sigs.select(F.col("node").alias("b"), F.col("th").alias("thb"), F.col("sig").alias("sb"))
+    """Pairs (a, b, da, db, tha, thb) that the sequential comparison of signatures leaves."""
+    a = sigs.select(F.col("node").alias("a"), F.col("doc_id").alias("da"), F.col("th").alias("tha"), F.col("sig").alias("sa"))
+    b = sigs.select(F.col("node").alias("b"), F.col("doc_id").alias("db"), F.col("th").alias("thb"), F.col("sig").alias("sb"))
     steps = p.least_matches(p.hashes)
 
     def compare(it):
@@ -136,31 +136,31 @@ def _alike(pairs: DataFrame, sigs: DataFrame, p: NearDedup) -> DataFrame:
             n = x.num_rows
             if not n:
                 continue
-            u, v = (np.frombuffer(b"".join(x.column(c).to_pylist()), np.uint8).reshape(n, -1) for c in (4, 5))
+            u, v = (np.frombuffer(b"".join(x.column(c).to_pylist()), np.uint8).reshape(n, -1) for c in (6, 7))
             alive, seen, at = np.arange(n), np.zeros(n, np.int64), 0
             for m, least in steps:
                 seen[alive] += (u[alive, at:m] == v[alive, at:m]).sum(axis=1)
                 alive, at = alive[seen[alive] >= least], m
-            yield pa.RecordBatch.from_arrays(list(x.columns[:4]), names=["a", "b", "tha", "thb"]).take(pa.array(alive))
+            yield pa.RecordBatch.from_arrays(list(x.columns[:6]), names=["a", "b", "da", "db", "tha", "thb"]).take(pa.array(alive))
 
-    both = pairs.join(a, "a").join(b, "b").select("a", "b", "tha", "thb", "sa", "sb")
-    return both.mapInArrow(compare, "a long, b long, tha long, thb long")
+    both = pairs.join(a, "a").join(b, "b").select("a", "b", "da", "db", "tha", "thb", "sa", "sb")
+    return both.mapInArrow(compare, "a long, b long, da long, db long, tha long, thb long")
 
 
 def _texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, text) of the distinct ``nodes`` (node, th).
+    """(node, text) of the distinct ``nodes`` (node, doc_id, th).
 
-    Up to ``BROADCAST_ROWS`` of them, two numbers each, are sent to the scan; more are joined.
+    Up to ``BROADCAST_ROWS`` of them, three numbers each, are sent to the scan; more are joined.
     """
     nodes = written(nodes.distinct(), "nodes")
-    text = docs.select(F.col("doc_id").cast("long").alias("node"), F.xxhash64("text").alias("th"), "text")
+    text = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("th"), "text")
     small = nodes.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return text.join(F.broadcast(nodes) if small else nodes, ["node", "th"]).select("node", "text")
+    return text.join(F.broadcast(nodes) if small else nodes, ["doc_id", "th"]).select("node", "text")
 
 
 def _links(alike: DataFrame, docs: DataFrame, p: NearDedup) -> DataFrame:
     """Of ``alike``, the pairs (a, b) whose full shingle sets reach the threshold."""
-    nodes = alike.select(F.col("a").alias("node"), F.col("tha").alias("th")).unionByName(alike.select(F.col("b").alias("node"), F.col("thb").alias("th")))
+    nodes = alike.selectExpr("a node", "da doc_id", "tha th").unionByName(alike.selectExpr("b node", "db doc_id", "thb th"))
     return _verified(alike.select("a", "b"), _texts(docs, nodes), p)
 
 
@@ -261,10 +261,12 @@ def near_duplicates(docs: DataFrame, p: NearDedup = NearDedup()) -> DataFrame:
     """
     s = written(signatures(docs, p), "signatures")
     known = s.where("n > 0 and doc_id is not null")
-    of_class = written(known.groupBy("f1", "f2").agg(F.min("doc_id").alias("node")), "classes")
-    first = known.join(of_class, (known.f1 == of_class.f1) & (known.f2 == of_class.f2) & (known.doc_id == of_class.node))
-    first = written(first.select("node", "th", "n", "bands", "sig").dropDuplicates(["node"]), "first")
-    sigs = first.select("node", "th", "sig")
+    # A class has a number of its own, as one doc_id may be the smallest of several.
+    of_class = known.groupBy("f1", "f2").agg(F.min("doc_id").alias("least")).withColumn("node", F.monotonically_increasing_id())
+    of_class = written(of_class, "classes")
+    first = known.join(of_class, (known.f1 == of_class.f1) & (known.f2 == of_class.f2) & (known.doc_id == of_class.least))
+    first = written(first.select("node", "doc_id", "th", "n", "bands", "sig").dropDuplicates(["node"]), "first")
+    sigs = first.select("node", "doc_id", "th", "sig")
 
     banded = first.select("node", "n", F.posexplode("bands").alias("band", "bucket"))
     full = banded.groupBy("bucket").agg(F.min(F.struct("node", "n")).alias("lead"), F.count("*").alias("m")).where("m > 1")
@@ -283,7 +285,7 @@ def near_duplicates(docs: DataFrame, p: NearDedup = NearDedup()) -> DataFrame:
     # Pairs with the lead have been compared.
     rest = written(member.where("node != lead").join(written(mixed, "mixed"), "bucket").select("bucket", "band", "node", "n", "comp"), "rest")
     # A partner with k shingles can be alike only if s reaches it: s >= t (n + k - s).
-    text = written(_texts(docs, rest.select("node").distinct().join(sigs.select("node", "th"), "node")), "text")
+    text = written(_texts(docs, rest.select("node").distinct().join(sigs.select("node", "doc_id", "th"), "node")), "text")
     shared = written(_shared(rest, text, p), "shared")
     rest = rest.join(shared, "node").withColumn("hi", F.expr(f"(s * {100 + p.percent}) div {p.percent} - n")).where(f"100 * s >= {p.percent} * n")
     rest = written(rest.select("bucket", "band", "node", "n", "comp", "hi"), "rest")
@@ -294,7 +296,10 @@ def near_duplicates(docs: DataFrame, p: NearDedup = NearDedup()) -> DataFrame:
     if not extra.isEmpty():
         label = components(edges.unionByName(extra))
 
-    of_node = written(of_class.join(label, "node", "left").select("f1", "f2", F.coalesce("comp", "node").alias("comp")), "components")
+    linked = written(of_class.join(label, "node").select("node", "comp", "least"), "linked")
+    least = written(linked.groupBy("comp").agg(F.min("least").alias("id")), "least")
+    named = written(linked.join(least, "comp").select("node", "id"), "named")
+    of_node = written(of_class.join(named, "node", "left").select("f1", "f2", F.coalesce("id", "least").alias("comp")), "components")
     out = s.where("n > 0 and doc_id is not null").join(of_node, ["f1", "f2"]).select("doc_id", "n", "comp")
     out = out.unionByName(s.where("n = 0 or doc_id is null").select("doc_id", "n", F.col("doc_id").alias("comp")))
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.col("comp").alias("component_id"), F.coalesce(F.col("doc_id") == F.col("comp"), F.lit(True)).alias("kept"))

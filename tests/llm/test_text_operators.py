@@ -73,6 +73,22 @@ def test_near_duplicates_cross_despite_equal_low_bytes(spark):
     assert got == {(a, a + 1) for a, _ in rows[::2]}
 
 
+def test_near_duplicates_one_id_smallest_of_two_classes(spark):
+    """Two texts under the smallest id: each has near-duplicates, which follow their own text."""
+    rng = random.Random(8)
+    rows, want = [], {}
+    for k in range(0, 60, 3):
+        for i in (1, 2):
+            base = [f"w{rng.randrange(10**6)}" for _ in range(80)]
+            rows += [(k, " ".join(base)), (k + i, noisy(rng, base, 1))]
+            want[k + i] = k
+        want[k] = k
+    rng.shuffle(rows)
+    got = near_duplicates(docs(spark, rows)).collect()
+    assert len(got) == len(rows)
+    assert all(r.component_id == want[r.doc_id] and r.kept == (r.doc_id % 3 == 0) for r in got)
+
+
 def test_bayes_bounds_grow():
     steps = NearDedup().least_matches(128)
     assert [m for m, _ in steps] == [32, 64, 96, 128] and all(0 < n < m for m, n in steps)
