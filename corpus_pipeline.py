@@ -22,16 +22,32 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return scored(docs.select(*COLUMNS), model).where(F.col("quality_score") >= ACCEPT).select(*COLUMNS)
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """The rows with a ``row`` number of their own, as ids may be null or repeat."""
+    return written(docs.select(*COLUMNS).withColumn("row", F.monotonically_increasing_id()), "rows")
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document, that of the smallest id, of each group of near-duplicates."""
-    gone = near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(written(gone, "gone"), "doc_id", "left_anti").select(*COLUMNS)
+    """Keeps one row, of the smallest id, of each group of near-duplicates.
+
+    Rows that share an id are told apart; those without an id are linked with nothing and stay, as
+    in the operator.
+    """
+    rows = numbered(docs)
+    known = rows.where("doc_id is not null")
+    near = near_duplicates(known.select(F.col("row").alias("doc_id"), "text")).select(F.col("doc_id").alias("row"), "component_id")
+    near = written(near, "near")
+    best = near.join(known.select("row", "doc_id"), "row").groupBy("component_id").agg(F.min(F.struct("doc_id", "row")).alias("best"))
+    gone = near.join(best.select("best.row"), "row", "left_anti").select("row")
+    return rows.join(written(gone, "gone"), "row", "left_anti").select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a passage of the benchmark."""
-    hit = decontaminate(docs, table(spark, sf_dir, "benchmark")).where("n_hit > 0").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(written(hit, "hit"), "doc_id", "left_anti").select(*COLUMNS)
+    """Drops the rows that hold a passage of the benchmark, whether or not row or item has an id."""
+    rows = numbered(docs)
+    items = table(spark, sf_dir, "benchmark").withColumn("item_id", F.monotonically_increasing_id())
+    hit = decontaminate(rows.select(F.col("row").alias("doc_id"), "text"), items).where("n_hit > 0").select(F.col("doc_id").alias("row"))
+    return rows.join(written(hit, "hit"), "row", "left_anti").select(*COLUMNS)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -40,6 +40,25 @@ def test_pipeline_stages(spark, tmp_path):
     assert {kind[i] for i in want} == {"clean", "private"} and sum(k == "clean" for k in map(kind.get, want)) == 120
 
 
+def test_stages_decide_by_row(spark, tmp_path):
+    """Null ids, repeated rows and ids with several texts."""
+    rng = random.Random(4)
+    text = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(80))
+    as_docs = lambda rows: spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    said = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=str)
+    a, b, c, d = text(), text(), text(), text()
+
+    rows = [(1, a), (5, a + " more"), (5, b), (7, c), (7, c), (7, c), (9, d), (8, d + " x"), (None, text())]
+    want = [(1, a), (5, b), (7, c), (8, d + " x"), rows[-1]]
+    assert said(corpus_pipeline.near_dedup(spark, as_docs(rows), str(tmp_path))) == sorted(want, key=str)
+
+    one, two = text()[:150], text()[:150]
+    spark.createDataFrame([(1, one), (None, two)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(1, a), (1, b + " " + one), (2, c + " " + two), (None, d + " " + one), (None, d)]
+    got = said(corpus_pipeline.decontamination(spark, as_docs(rows), str(tmp_path)))
+    assert got == sorted([(1, a), (None, d)], key=str)
+
+
 def test_every_operator_has_a_query():
     numbers = sorted(int(name[2:].split("_")[0]) for name in queries())
     assert numbers == list(range(1, 11))
