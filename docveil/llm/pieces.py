@@ -5,15 +5,18 @@ equals. A candidate merge, that is the two spans it would join, is skipped when
 falls under the dropout probability, as though it had never been on the agenda. So a seed gives
 the same segmentation anywhere and other seeds others.
 
-The hash's key has the seed, the word and one of ``variants`` draws, which a hash of the document
-and the word's position picks: a word that occurs often is cut in up to that many ways, and each is
-computed once. Dropout 0 gives the model's own segmentation.
+The hash's key has the seed, the document and the word's position, so each occurrence of a word has
+draws of its own. A segmentation is computed once per word and set of skipped merges: an occurrence
+starts from the word's own segmentation, and at the first of its merges that the hash skips goes on
+to the segmentation without that merge, until none of its merges is skipped. A skipped candidate
+that is not merged anyway changes nothing. Dropout 0 gives the model's own segmentation.
 """
 
 from __future__ import annotations
 
 import heapq
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -45,10 +48,21 @@ def _points(units: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), "<u4"), np.array([len(u) for u in units], np.int64)
 
 
+def _code(spans) -> np.ndarray:
+    """One number for the bounds of a short unit's merge."""
+    a, m, b = spans
+    return (a << 12) | (m << 6) | b
+
+
+def _room(x: np.ndarray, n: int) -> np.ndarray:
+    """``x`` or a longer copy, with room for ``n`` values."""
+    return x if n <= len(x) else np.concatenate([x, np.empty(max(n - len(x), len(x)), x.dtype)])
+
+
 class Pieces:
-    """A model's pieces, its merges, and the encoder with its cache."""
+    """A model's pieces, its merges, and the encoder with its cache of ``cache`` segmentations."""
 
-    def __init__(self, path: str, dropout: float, seed: int, variants: int, cache: int = 250_000):
+    def __init__(self, path: str, dropout: float, seed: int, variants: int = 0, cache: int = 120_000):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -78,16 +92,29 @@ class Pieces:
         self.raw = [bytes([int(t[3:5], 16)]) if sp.is_byte(i) else t.replace("▁", " ").encode() if i in real else b"" for i, t in enumerate(text)]
         self.dropout, self.seed, self.variants, self.limit = dropout, seed, variants, cache
         self.below = min(_M, int(dropout * 2.0**64))
-        # Two generations of the cache: a full young one becomes the old one.
-        self.known: list[dict[str, bytes]] = [{} for _ in range(variants)]
-        self.old = self.known
+        self.forget()
         # By code point: a symbol, or a negative one for a character of no piece.
         self.table = -1 - np.arange(0x110000, dtype=np.int64)
         for c, i in self.symbol.items():
             self.table[ord(c)] = i
         self.table[0x20], self.table[0x2581] = self.table[0x2581], -1 - 0x2581
 
-    def word_keys(self, units: list[str], variants: list[int]) -> np.ndarray:
+    def forget(self) -> None:
+        """Empties the cache.
+
+        Segmentation e has its unit, the merges that it is without and its ids; its own merges, in
+        order, are at first[e] to first[e] + size[e]: each has its spans, its part of the skip hash
+        and the number of the segmentation without it, -1 if not known.
+        """
+        self.root: dict[str, int] = {}
+        self.units: list[str] = []
+        self.without: list[tuple[int, ...]] = []
+        self.ids: list[bytes] = []
+        self.first, self.size, self.spans, self.child = (np.empty(1 << 16, np.int32) for _ in range(4))
+        self.part = np.empty(1 << 16, np.uint64)
+        self.merges = 0
+
+    def word_keys(self, units: list[str], variants: list[int] | np.ndarray) -> np.ndarray:
         """A keyed hash of each unit and variant, from its code points and their places."""
         points, size = _points(units)
         place = np.arange(len(points)) - np.repeat(np.cumsum(size) - size, size)
@@ -142,23 +169,40 @@ class Pieces:
         return self.spell([s for s, ok in zip(sym, live, strict=True) if ok])
 
     def many(self, units: list[str], keys: list[int] | np.ndarray) -> list[bytes]:
-        """The ids of short units; each round merges the best candidate of every unit."""
+        """The ids of short units, whose merges are skipped by keys."""
+        key, c = np.array(keys, np.uint64), [np.uint64(x) for x in _C]
+
+        def skipped(word: np.ndarray, *spans: np.ndarray) -> np.ndarray:
+            return mix(key[word] + sum(x.astype(np.uint64) * y for x, y in zip(spans, c, strict=True))) < np.uint64(self.below)
+
+        return self.rounds(units, skipped if self.below else None)[0]
+
+    def rounds(self, units: list[str], skipped: Callable[..., np.ndarray] | None) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """The ids of short units, how many merges each has, and the three bounds of each merge.
+
+        Each round merges the best candidate of every unit.
+        """
         points, size = _points(units)
         sym = self.table[points]
         word = np.repeat(np.arange(len(units)), size)
         start = np.arange(len(sym)) - np.repeat(np.cumsum(size) - size, size)
-        end, key = start + 1, np.array(keys, np.uint64)
-        done_sym, done_word = [], []
-        c = [np.uint64(x) for x in _C]
+        end = start + 1
+        done_sym, done_word, merged = [], [], []
+        # The candidate of each symbol and its next; only those beside a merge change in a round.
+        to, todo = np.full(len(sym), -1, np.int64), np.arange(len(sym))
         while len(sym):
-            to = np.full(len(sym), -1, np.int64)
-            pair = (sym[:-1] << 32) | (sym[1:] & 0xFFFFFFFF)
+            to[todo] = -1
+            todo = todo[todo < len(sym) - 1]
+            left, right = sym[todo], sym[todo + 1]
+            pair = (left << 32) | (right & 0xFFFFFFFF)
             at = np.minimum(np.searchsorted(self.key, pair), len(self.key) - 1)
-            hit = np.flatnonzero((self.key[at] == pair) & (word[:-1] == word[1:]) & (sym[:-1] >= 0) & (sym[1:] >= 0))
-            if self.below:
-                h = key[word[hit]] + start[hit].astype(np.uint64) * c[0] + start[hit + 1].astype(np.uint64) * c[1] + end[hit + 1].astype(np.uint64) * c[2]
-                hit = hit[mix(h) >= np.uint64(self.below)]
-            to[hit] = self.to[at[hit]]
+            found = (self.key[at] == pair) & (word[todo] == word[todo + 1]) & (left >= 0) & (right >= 0)
+            hit, at = todo[found], at[found]
+            if skipped is not None:
+                ok = ~skipped(word[hit], start[hit], start[hit + 1], end[hit + 1])
+                hit, at = hit[ok], at[ok]
+            to[hit] = self.to[at]
+            hit = np.flatnonzero(to >= 0)
             order = np.full(len(sym), NONE, np.int64)
             order[hit] = (self.rank[to[hit]] << 32) | hit
             first = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
@@ -167,54 +211,90 @@ class Pieces:
             finished = np.repeat(~live, np.diff(np.append(first, len(sym))))
             done_sym.append(sym[finished]), done_word.append(word[finished])
             i = best[live] & 0xFFFFFFFF
+            merged.append(np.stack([word[i], start[i], start[i + 1], end[i + 1]]))
             sym[i], end[i] = to[i], end[i + 1]
-            keep = ~finished
+            keep, near = ~finished, np.zeros(len(sym), bool)
             keep[i + 1] = False
-            sym, word, start, end = sym[keep], word[keep], start[keep], end[keep]
+            near[i], near[np.maximum(i - 1, 0)] = True, True
+            sym, word, start, end, to = sym[keep], word[keep], start[keep], end[keep], to[keep]
+            todo = np.flatnonzero(near[keep])
         sym, word = np.concatenate(done_sym), np.concatenate(done_word)
         by = np.argsort(word, kind="stable")
         sym, bounds = sym[by], np.searchsorted(word[by], np.arange(len(units) + 1))
         odd = np.zeros(len(units), bool)
         odd[word[by][(sym < 0) | (sym >= len(self.raw))]] = True
         plain = np.where((sym < 0) | (sym >= len(self.raw)), 0, sym).astype("<u2").tobytes()
-        return [self.spell(sym[a:b].tolist()) if o else plain[2 * a : 2 * b] for a, b, o in zip(bounds[:-1].tolist(), bounds[1:].tolist(), odd.tolist(), strict=True)]
+        merge = np.concatenate(merged, axis=1)
+        merge = merge[:, np.argsort(merge[0], kind="stable")]
+        ids = [self.spell(sym[a:b].tolist()) if o else plain[2 * a : 2 * b] for a, b, o in zip(bounds[:-1].tolist(), bounds[1:].tolist(), odd.tolist(), strict=True)]
+        return ids, np.bincount(merge[0], minlength=len(units)), merge[1:]
+
+    def add(self, units: list[str], without: list[tuple[int, ...]]) -> np.ndarray:
+        """Numbers of the segmentations of short units without the given merges, now computed."""
+        start = len(self.ids)
+        for k in range(0, len(units), 20_000):
+            some, sets = units[k : k + 20_000], without[k : k + 20_000]
+            banned = np.array(sorted((w << 18) | m for w, ms in enumerate(sets) for m in ms), np.int64)
+
+            def skipped(word: np.ndarray, *spans: np.ndarray, banned: np.ndarray = banned) -> np.ndarray:
+                code = (word << 18) | _code(spans)
+                return banned[np.minimum(np.searchsorted(banned, code), len(banned) - 1)] == code
+
+            ids, size, spans = self.rounds(some, skipped if len(banned) else None)
+            n, m = len(self.ids), self.merges
+            self.first, self.size = (_room(x, n + len(ids)) for x in (self.first, self.size))
+            self.spans, self.child, self.part = (_room(x, m + spans.shape[1]) for x in (self.spans, self.child, self.part))
+            self.first[n : n + len(ids)] = m + np.cumsum(size) - size
+            self.size[n : n + len(ids)] = size
+            self.merges = end = m + spans.shape[1]
+            self.spans[m:end], self.child[m:end] = _code(spans), -1
+            self.part[m:end] = sum(x.astype(np.uint64) * np.uint64(y) for x, y in zip(spans, _C, strict=True))
+            self.ids += ids
+        self.units += units
+        self.without += without
+        return np.arange(start, len(self.ids))
+
+    def keys(self, doc_key: int, units: list[str]) -> np.ndarray:
+        """The key of each unit of a document, of its own or one of ``variants`` of the word."""
+        draw = mix(np.arange(len(units), dtype=np.uint64) * np.uint64(_C[0]) + np.uint64(_mix((doc_key ^ self.seed * _C[1]) & _M)))
+        return self.word_keys(units, draw % np.uint64(self.variants)) if self.variants else draw
 
     def encode(self, doc_keys: list[int], texts: list[str]) -> list[bytes]:
         """The ids (little-endian, 16 bits) of each text."""
-        if sum(map(len, self.known)) > self.limit:
-            self.old, self.known = self.known, [{} for _ in range(self.variants)]
-        cut, missing = [], {}
-        for key, text in zip(doc_keys, texts, strict=True):
-            units = UNIT.findall(" " + text) if text else []
-            pick = [0] * len(units)
-            if self.variants > 1:
-                draw = np.arange(len(units), dtype=np.uint64) * np.uint64(_C[0]) + np.uint64(_mix((key ^ self.seed) & _M))
-                pick = (mix(draw) % np.uint64(self.variants)).tolist()
-            known = self.known
-            got = [known[v].get(u) for v, u in zip(pick, units, strict=True)]
-            holes = []
-            if None in got:
-                holes = [(i, (pick[i], units[i])) for i, g in enumerate(got) if g is None]
-                missing.update((k, None) for _, k in holes)
-            cut.append((got, holes))
-        fresh = [k for k in missing if k[1] not in self.old[k[0]]]
-        short = [k for k in fresh if len(k[1]) <= LONG]
-        for k in missing.keys() - set(fresh):
-            missing[k] = self.old[k[0]][k[1]]
-        for i in range(0, len(short), 20_000):
-            part = short[i : i + 20_000]
-            units = [u for _, u in part]
-            missing.update(zip(part, self.many(units, self.word_keys(units, [v for v, _ in part])), strict=True))
-        for k in fresh:
-            if len(k[1]) > LONG:
-                missing[k] = self.one(k[1], self.word_key(k[1], k[0]))
-        for (v, u), ids in missing.items():
-            if len(u) <= LONG:
-                self.known[v][u] = ids
-        for got, holes in cut:
-            for i, k in holes:
-                got[i] = missing[k]
-        return [b"".join(got) for got, _ in cut]
+        if len(self.ids) > self.limit:
+            self.forget()
+        cut = [UNIT.findall(" " + t) if t else [] for t in texts]
+        units = [u for c in cut for u in c]
+        if not units:
+            return [b""] * len(texts)
+        fresh = [u for u in dict.fromkeys(units) if u not in self.root and len(u) <= LONG]
+        if fresh:
+            self.root.update(zip(fresh, self.add(fresh, [()] * len(fresh)).tolist(), strict=True))
+        root = self.root
+        at = np.array([root.get(u, -1) for u in units], np.int64)
+        key = np.concatenate([self.keys(k, c) for k, c in zip(doc_keys, cut, strict=True)])
+        open_ = np.flatnonzero(at >= 0) if self.below else np.empty(0, np.int64)
+        while len(open_):
+            e = at[open_]
+            size = self.size[e]
+            own = np.repeat(np.arange(len(e)), size)
+            merge = np.arange(len(own)) + np.repeat(self.first[e] - np.cumsum(size) + size, size)
+            hit = np.flatnonzero(mix(key[open_[own]] + self.part[merge]) < np.uint64(self.below))
+            # The first skipped merge of each.
+            hit = hit[np.diff(own[hit], prepend=-1) > 0]
+            open_, e, merge = open_[own[hit]], e[own[hit]], merge[hit]
+            new, one = np.unique(merge[self.child[merge] < 0], return_index=True)
+            one = e[self.child[merge] < 0][one]
+            if len(new):
+                more = self.add([self.units[x] for x in one.tolist()], [(*self.without[x], m) for x, m in zip(one.tolist(), self.spans[new].tolist(), strict=True)])
+                self.child[new] = more
+            at[open_] = self.child[merge]
+        ids = self.ids
+        got = [ids[e] for e in at.tolist()]
+        for i in np.flatnonzero(at < 0).tolist():
+            got[i] = self.one(units[i], int(key[i]))
+        bounds = np.cumsum([0, *map(len, cut)]).tolist()
+        return [b"".join(got[i:j]) for i, j in zip(bounds[:-1], bounds[1:], strict=True)]
 
     def decode(self, ids: np.ndarray) -> str:
         raw = self.raw
@@ -234,12 +314,12 @@ def pieces(path: str, dropout: float, seed: int, variants: int) -> Pieces:
 
 @dataclass(frozen=True)
 class Dropout:
-    """The chance that a candidate merge is skipped, the key, and the draws per word."""
+    """The chance that a candidate merge is skipped, the key, and the draws per word (0: no bound)."""
 
     path: str
     chance: float = 0.1
     seed: int = 1
-    variants: int = 4
+    variants: int = 0
 
 
 def _with(df: DataFrame, name: str, kind: T.DataType) -> T.StructType:

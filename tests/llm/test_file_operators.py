@@ -136,6 +136,23 @@ def test_dropout_agenda_and_seeds():
     assert len({p.many([" international"], [p.word_key(" international", v)])[0] for v in range(3)}) > 1
 
 
+def test_dropout_of_each_occurrence():
+    """Every occurrence has draws of its own, and the cache gives what the agenda gives for its key."""
+    p = Pieces(piece_model(), *(getattr(Dropout(""), k) for k in ("chance", "seed", "variants")), cache=200)
+    word, n = " internationalisations", 3000
+    ids = [p.encode([k], [word[1:]])[0] for k in range(n)]
+    assert len(set(ids)) > 10
+    plain = Pieces(piece_model(), 0.0, 1).encode([0], [word[1:]])[0]
+    rng = random.Random(2)
+    free = [p.one(word, rng.getrandbits(64)) for _ in range(n)]
+    assert abs(sum(x == plain for x in ids) - sum(x == plain for x in free)) < 0.05 * n
+    for k, t in enumerate(texts(9, 60)):
+        if t:
+            units = UNIT.findall(" " + t)
+            want = b"".join(p.one(u, x) for u, x in zip(units, p.keys(k, units).tolist(), strict=True))
+            assert p.encode([k], [t])[0] == want
+
+
 def test_pieces_round_trip(spark):
     rows = list(enumerate(texts(7)))
     p = Dropout(piece_model())
