@@ -11,16 +11,34 @@ from pyspark.sql import functions as F
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+#: Tasks that files or blocks are dealt to at most; each then takes several in turn.
+MOST_TASKS = 10_000
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder's URI in ``spark.checkpoint.dir``; where that is unset, in the warehouse."""
+    """A new folder's URI in ``spark.checkpoint.dir``; where that is unset, in the warehouse.
+
+    ValueError if that is a folder of one machine while the executors are on others.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_docveil"
+        local = root.startswith(("file:", "/"))
+        if local and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is unset and the warehouse is a local folder, which other machines do not see")
     if root.startswith("file:/") and not root.startswith("file://"):
         root = "file://" + root[len("file:") :]
+    elif root.startswith("/"):
+        root = "file://" + root
     return f"{root.rstrip('/')}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex[:12]}"
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """Few rows that each are much work, such as files, dealt to a task each (``MOST_TASKS`` at most)."""
+    rows = written(rows, "todo")
+    return rows.repartition(min(max(1, rows.count()), MOST_TASKS))
+
+
 def written(df: DataFrame, name: str = "t") -> DataFrame:
     """``df`` as a Parquet table in the shared folder: it cuts lineage and survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/{name}"

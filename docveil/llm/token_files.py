@@ -3,6 +3,7 @@
 A file is ids one after another, 16 or 32 bits each. Blocks of all files are scanned apart: a
 vectorised search gives the end ids' places in a block. A prefix scan over the blocks' summaries
 (how many ends, and where the last one is) stitches documents that cross blocks and numbers them.
+Each block is a task's, so a file of any size is read by as many tasks as it has blocks.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docveil.llm.common import batches, filesystem, written
+from docveil.llm.common import batches, dealt, filesystem, written
 
 #: Ids of a block.
 BLOCK = 1 << 22
@@ -34,7 +35,7 @@ def write_token_files(docs: DataFrame, encode, end_id: int, folder: str) -> tupl
         fs.create_dir(path, recursive=True)
         name = f"{uuid.uuid4().hex}.tokens"
         run, end, n = encode(), np.array([end_id], "<u2").tobytes(), 0
-        with fs.open_output_stream(f"{path}/{name}") as sink:
+        with fs.open_output_stream(f"{path}/{name}", compression=None) as sink:
             for whole in it:
                 for b in batches([whole], 256):
                     for text in b.column(1).to_pylist():
@@ -79,8 +80,8 @@ def count_tokens(files: DataFrame, end_id: int, dtype: str = "<u2", block: int =
                 yield pa.RecordBatch.from_pydict({"path": [path], "block": [k], "n_ids": pa.array([len(ids)], pa.int64()), "n_ends": pa.array([len(ends)], pa.int64()), "last": pa.array([int(ends[-1]) if len(ends) else None], pa.int64()), "ends": pa.array([ends], pa.list_(pa.int64()))})
 
     schema = "path string, block long, n_ids long, n_ends long, last long, ends array<long>"
-    blocks = files.select("path").distinct().mapInArrow(sizes, "path string, block long")
-    blocks = written(blocks.repartition("path", "block").mapInArrow(scan, schema), "blocks")
+    blocks = dealt(files.select("path").distinct()).mapInArrow(sizes, "path string, block long")
+    blocks = written(dealt(blocks).mapInArrow(scan, schema), "blocks")
     before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     carried = blocks.drop("ends").select("path", "block", F.coalesce(F.sum("n_ends").over(before), F.lit(0)).alias("base"), F.coalesce(F.max("last").over(before), F.lit(-1)).alias("prior"))
     joined = blocks.where("n_ends > 0").join(carried, ["path", "block"])

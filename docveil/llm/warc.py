@@ -19,10 +19,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docveil.llm.common import batches, filesystem, written
+from docveil.llm.common import batches, dealt, filesystem, written
 
 STEP = 1 << 16
-MAX_HEADER = 1 << 20
 #: Payloads shorter than this are never replaced by a revisit.
 SMALL = 1000
 #: Repeated payloads' digests that may be broadcast: 10 MB.
@@ -69,10 +68,12 @@ def read_records(source) -> Iterator[tuple[dict[str, str], bytes]]:
                 return
         z, ended = zlib.decompressobj(31), False
         plain.clear()
-        while (cut := plain.find(b"\r\n\r\n")) < 0:
-            if len(plain) > MAX_HEADER or not more():
+        seen = 0
+        while (cut := plain.find(b"\r\n\r\n", seen)) < 0:
+            seen = max(0, len(plain) - 3)
+            if not more():
                 raise ValueError("a record without a header")
-        lines = bytes(plain[:cut]).decode().split("\r\n")
+        lines = bytes(plain[:cut]).decode("utf-8", "surrogateescape").split("\r\n")
         if not lines[0].startswith("WARC/1."):
             raise ValueError(f"not a WARC record: {lines[0][:20]}")
         fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
@@ -92,19 +93,45 @@ def read_records(source) -> Iterator[tuple[dict[str, str], bytes]]:
         yield fields, block
 
 
-def urn(page_id: int) -> str:
-    """A record id that holds a page's id."""
-    return f"<urn:uuid:{uuid.UUID(int=(page_id & (2**64 - 1)) | 0xD0C << 100)}>"
+def urn(page_id: int | None, payload: bytes) -> str:
+    """A record id that holds a page's id, if it has one, and 40 bits of its payload's digest."""
+    known, low = (0xD0C, page_id & (2**64 - 1)) if page_id is not None else (0xD0D, 0)
+    return f"<urn:uuid:{uuid.UUID(int=known << 116 | int.from_bytes(hashlib.sha1(payload).digest()[:5]) << 64 | low)}>"
+
+
+def page_of(record_id: str) -> int | None:
+    """The page's id in a record id; None if it holds none."""
+    try:
+        n = uuid.UUID(record_id.strip("<>").rpartition(":")[2]).int
+    except ValueError:
+        return None
+    low = n & (2**64 - 1)
+    return low - (low >> 63 << 64) if n >> 116 == 0xD0C else None
 
 
-def page_of(record_id: str) -> int:
-    n = uuid.UUID(record_id.strip("<>").rpartition(":")[2]).int & (2**64 - 1)
-    return n - (n >> 63 << 64)
+def payload_of(fields: dict[str, str], block: bytes) -> tuple[bytes, bool]:
+    """(payload, whether the header's payload digest is of just these bytes).
+
+    The payload of an HTTP message is its body; one in a transfer encoding is left as it is.
+    """
+    if not fields.get("content-type", "").startswith("application/http"):
+        return block, True
+    head, _, body = block.partition(b"\r\n\r\n")
+    return body, b"transfer-encoding:" not in head.lower()
+
+
+def sha1_hex(digest: str | None) -> str | None:
+    """A SHA-1 digest of a header, in base 32 or 16, as bare hex; None for another kind."""
+    kind, _, value = (digest or "").partition(":")
+    if kind.lower() != "sha1":
+        return None
+    return value.lower() if len(value) == 40 else base64.b32decode(value.upper()).hex()
 
 
 def plan_records(pages: DataFrame, small: int = SMALL) -> DataFrame:
     """(page_id, url, html, refers_to): of equal payloads of at least ``small`` bytes the one of the
-    largest page_id is a response and the others refer to it.
+    largest page_id is a response and the others refer to it, also those without an id. Where none
+    has an id all are responses.
 
     Only digests that occur twice are joined back; both sides of that join are plain exchanges of
     a table, which Spark splits where one payload fills many rows.
@@ -116,7 +143,7 @@ def plan_records(pages: DataFrame, small: int = SMALL) -> DataFrame:
     few = twice.limit(BROADCAST_DIGESTS + 1).count() <= BROADCAST_DIGESTS
     own = F.coalesce("digest", F.concat(F.lit("-"), F.monotonically_increasing_id().cast("string")))
     joined = rows.withColumn("digest", own).join(F.broadcast(twice) if few else twice, "digest", "left")
-    return joined.select("page_id", "url", "html", F.when(F.col("page_id") != F.col("first"), F.col("first")).alias("refers_to"))
+    return joined.select("page_id", "url", "html", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
 
 
 def write_warc(pages: DataFrame, folder: str, small: int = SMALL, at: datetime = datetime(2024, 1, 1, tzinfo=UTC)) -> DataFrame:
@@ -124,8 +151,8 @@ def write_warc(pages: DataFrame, folder: str, small: int = SMALL, at: datetime =
 
     Returns the files (path, n_records). The payload is the html in UTF-8, empty if null; a null
     url is written as an empty one. Each attempt of a task writes a file of its own and only the
-    returned ones count. Rows that repeat a page_id are records of their own. A null page_id is
-    refused with ValueError, as a record needs an id.
+    returned ones count. Rows that repeat a page_id are records of their own, and so have other
+    record ids where their payloads differ. The record of a null page_id has an id without one.
     """
     date = at.strftime("%Y-%m-%dT%H:%M:%SZ")
 
@@ -133,20 +160,18 @@ def write_warc(pages: DataFrame, folder: str, small: int = SMALL, at: datetime =
         fs, path = filesystem(folder)
         fs.create_dir(path, recursive=True)
         name, n = f"{uuid.uuid4().hex}.warc.gz", 0
-        with fs.open_output_stream(f"{path}/{name}") as sink:
+        with fs.open_output_stream(f"{path}/{name}", compression=None) as sink:
             info = "software: docveil\r\nformat: WARC File Format 1.1\r\n".encode()
             sink.write(record("warcinfo", [("WARC-Record-ID", f"<urn:uuid:{uuid.uuid4()}>"), ("WARC-Date", date), ("Content-Type", "application/warc-fields")], info))
             for whole in it:
                 for b in batches([whole], 256):
                     for page, url, html, first in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                        if page is None:
-                            raise ValueError("a page without an id")
                         payload = (html or "").encode("utf-8", "surrogatepass")
-                        fields = [("WARC-Record-ID", urn(page)), ("WARC-Target-URI", " ".join((url or "").split())), ("WARC-Date", date), ("WARC-Payload-Digest", sha1(payload)), ("X-Payload-Length", str(len(payload)))]
+                        fields = [("WARC-Record-ID", urn(page, payload)), ("WARC-Target-URI", " ".join((url or "").split())), ("WARC-Date", date), ("WARC-Payload-Digest", sha1(payload)), ("X-Payload-Length", str(len(payload)))]
                         if first is None:
                             sink.write(record("response", [*fields, ("Content-Type", "text/html; charset=utf-8")], payload))
                         else:
-                            sink.write(record("revisit", [*fields, ("WARC-Refers-To", urn(first)), ("WARC-Profile", PROFILE)], b""))
+                            sink.write(record("revisit", [*fields, ("WARC-Refers-To", urn(first, payload)), ("WARC-Profile", PROFILE)], b""))
                         n += 1
         yield pa.RecordBatch.from_pydict({"path": [f"{folder}/{name}"], "n_records": pa.array([n], pa.int64())})
 
@@ -155,37 +180,48 @@ def write_warc(pages: DataFrame, folder: str, small: int = SMALL, at: datetime =
 
 def read_warc(archives: DataFrame, payloads: bool = False) -> DataFrame:
     """(page_id, url, payload_bytes, payload_digest, record_type, refers_to[, payload]) of each
-    response and revisit in ``archives`` (path), a task per file.
+    response and revisit in ``archives`` (path), a task per file; repeated paths count once.
 
-    Length and digest are of the full payload. A response's are computed from what was read, and
-    one that differs from its header is a fault (ValueError), as is a file cut short.
+    Length and digest are of the full payload, of a response as it was read: the block, or the
+    body of an HTTP message. A response that differs from its header's digest or length is a fault
+    (ValueError), as is a file cut short. Of archives by other writers page_id and refers_to are
+    null, and so is what a revisit's header doesn't say; digests other than SHA-1 are not held
+    against the payload. A record without a URL has an empty one.
     """
     names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", *["payload"] * payloads]
     schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * payloads
     kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), *[pa.binary()] * payloads]
 
+    def row(path: str, h: dict[str, str], block: bytes) -> list:
+        kind, said, size = h["warc-type"], sha1_hex(h.get("warc-payload-digest")), h.get("x-payload-length")
+        payload, size, first = b"", int(size) if size else None, None
+        if kind == "response":
+            payload, plain = payload_of(h, block)
+            digest = hashlib.sha1(payload).hexdigest()
+            if (plain and said not in (None, digest)) or size not in (None, len(payload)):
+                raise ValueError(f"{path}: a payload differs from its header")
+            said, size = digest, len(payload)
+        else:
+            first = page_of(h.get("warc-refers-to", ""))
+        url = h.get("warc-target-uri", "").encode("utf-8", "surrogateescape").decode("utf-8", "replace")
+        return [page_of(h.get("warc-record-id", "")), url, size, said, kind, first, *[payload] * payloads]
+
+    def batch(rows: list[list]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
     def read(it):
         for b in it:
             for path in b.column(0).to_pylist():
                 fs, name = filesystem(path)
                 rows = []
-                with fs.open_input_stream(name) as f:
+                with fs.open_input_stream(name, compression=None) as f:
                     for h, block in read_records(f):
-                        if h["warc-type"] not in ("response", "revisit"):
-                            continue
-                        digest, size, first = h["warc-payload-digest"], int(h["x-payload-length"]), None
-                        if h["warc-type"] == "response":
-                            if sha1(block) != digest or len(block) != size:
-                                raise ValueError(f"{path}: a payload differs from its header")
-                        else:
-                            first = page_of(h["warc-refers-to"])
-                        row = [page_of(h["warc-record-id"]), h["warc-target-uri"], size, base64.b32decode(digest.partition(":")[2]).hex(), h["warc-type"], first]
-                        rows.append([*row, block] if payloads else row)
+                        if h.get("warc-type") in ("response", "revisit"):
+                            rows.append(row(path, h, block))
                         if len(rows) == 1024:
-                            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+                            yield batch(rows)
                             rows = []
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+                    yield batch(rows)
 
-    paths = archives.select("path").distinct()
-    return paths.repartition("path").mapInArrow(read, schema)
+    return dealt(archives.select("path").distinct()).mapInArrow(read, schema)
