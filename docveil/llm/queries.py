@@ -55,7 +55,7 @@ def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     p = Dropout(piece_model())
     r = decode_pieces(encode_pieces(table(spark, sf_dir, "documents").select("doc_id", "text"), p), p)
-    return r.select("doc_id", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_pieces"), F.crc32(F.array_join("ids", ",").cast("binary")).alias("ids_crc32"), F.col("decoded").eqNullSafe(F.col("text")).alias("lossless"))
+    return r.select("doc_id", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), F.col("decoded").eqNullSafe(F.col("text")).alias("lossless"))
 
 
 def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,17 +84,11 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from docveil.llm.decontaminate import decontaminate
+    from docveil.llm.decontaminate import decontaminate, with_items
 
-    r = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return r.select(
-        "doc_id",
-        "n_words",
-        "n_hit",
-        F.size("items").cast("long").alias("n_items"),
-        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
-        (F.col("n_hit") > 0).alias("contaminated"),
-    )
+    found = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    r = with_items(found, {"n_items": F.size("items").cast("long"), "items_sha256": F.sha2(F.array_join("items", ",").cast("binary"), 256)})
+    return r.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", (F.col("n_hit") > 0).alias("contaminated"))
 
 
 def word_bpe() -> str:
