@@ -12,10 +12,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docveil.llm.common import ascii_lower
+from docveil.llm.common import ascii_lower, written
 
-#: Rules that may be broadcast; more are joined with salt.
-BROADCAST_RULES = 200_000
+#: Bytes of rules that may be broadcast; more are joined with salt.
+BROADCAST_BYTES = 20_000_000
 SALTS = 32
 
 
@@ -35,6 +35,11 @@ def _labels(host: Column) -> Column:
     return F.size(F.split(host, r"\."))
 
 
+def _expression(host: Column, path: Column) -> Column:
+    """Host and path as one text; a host holds no question mark, so it tells where the path starts."""
+    return F.concat(host, F.lit("?"), path)
+
+
 def url_verdicts(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFrame:
     """(page_id, host, path, rule, verdict) for each row of ``pages`` (page_id, url).
 
@@ -45,25 +50,23 @@ def url_verdicts(pages: DataFrame, rules: DataFrame, default: str = "allow") ->
     nothing; repeated rules count once; repeated pages each get their row. Other columns are
     ignored. Without rules every verdict is ``default``.
     """
-    rules = rules.select(ascii_lower(F.col("host")).alias("rh"), F.col("path").alias("rp"), F.col("verdict").alias("rv")).where("rh is not null and rp is not null and rv is not null").distinct()
-    shapes = [(r[0], r[1]) for r in rules.select(_labels(F.col("rh")), F.length("rp")).distinct().collect()]
-    rule = F.concat("rh", "rp")
-    rules = rules.groupBy(rule.alias("rule")).agg(F.max("rv").alias("rv"), F.max(F.length("rh")).alias("hl"))
+    rules = rules.select(ascii_lower(F.col("host")).alias("rh"), F.col("path").alias("rp"), F.col("verdict").alias("rv")).where("rh is not null and rp is not null and rv is not null")
+    rules = rules.groupBy("rh", "rp").agg(F.max("rv").alias("rv"))
+    # A list of shapes, not of rules: as many as there are counts of labels times lengths of paths.
+    shapes = rules.select(_labels(F.col("rh")).alias("n"), F.length("rp").alias("p")).distinct().orderBy("n", "p").toJSON().collect()
     digest = lambda c: F.unhex(F.sha2(c.cast("binary"), 256))
-    rules = rules.select("rule", "rv", "hl", digest(F.col("rule")).alias("full"))
+    rules = rules.select(F.concat("rh", "rp").alias("rule"), "rv", F.length("rh").alias("hl"), digest(_expression(F.col("rh"), F.col("rp"))).alias("full"))
     short = lambda c: F.substring(c, 1, 4)
-    rules = rules.withColumn("short", short(F.col("full")))
+    rules = written(rules.withColumn("short", short(F.col("full"))), "rules")
 
     host, path = host_and_path(F.col("url"))
     rows = pages.select(F.monotonically_increasing_id().alias("row"), "page_id", host.alias("host"), path.alias("path"))
     n, parts = _labels(F.col("host")), F.split("host", r"\.")
-    shaped = [
-        F.when((n >= labels) & (F.length("path") >= length), F.concat(F.array_join(F.slice(parts, n - labels + 1, F.lit(labels)), "."), F.substring("path", 1, length)))
-        for labels, length in sorted(shapes)
-    ]
-    expressions = F.array_compact(F.array(*shaped)) if shaped else F.array().cast("array<string>")
+    fitting = F.filter(F.from_json(F.lit(f"[{','.join(shapes)}]"), "array<struct<n:int,p:int>>"), lambda s: (s["n"] <= n) & (s["p"] <= F.length("path")))
+    expressions = F.transform(fitting, lambda s: _expression(F.array_join(F.slice(parts, n - s["n"] + 1, s["n"]), "."), F.substring(F.col("path"), F.lit(1), s["p"])))
     rows = rows.withColumn("e", F.explode_outer(expressions)).withColumn("d", digest(F.col("e"))).withColumn("p", short(F.col("d")))
-    if rules.limit(BROADCAST_RULES + 1).count() <= BROADCAST_RULES:
+    size = rules.select(F.coalesce(F.sum(F.octet_length("rule") + 100), F.lit(0)).alias("bytes")).first()["bytes"]
+    if size <= BROADCAST_BYTES:
         joined = rows.join(F.broadcast(rules), F.col("p") == F.col("short"), "left")
     else:
         # A host may hold a third of all pages: its expressions are dealt over the salts.
