@@ -18,10 +18,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docveil.llm.common import batches
+from docveil.llm.common import batches, written
 
-#: Labelled documents that the fit uses at most, the first by a hash of their ids.
-MAX_LABELLED = 2500
+#: Labelled documents, and lines of them in all, that the fit uses at most: the first documents by a
+#: hash of their ids, each whole; one whose lines would go beyond is left out.
+MAX_LABELLED, MAX_LINES = 2500, 500_000
 ACCEPT = 0.7
 N = 18
 _WORD = re.compile(r"\w+")
@@ -156,29 +157,41 @@ class Model:
 
 
 def _features(docs: DataFrame) -> DataFrame:
-    """(quality, f, sizes) per labelled document; f is flat."""
+    """(doc_id, quality, n, f, sizes) per labelled document: n lines; f is flat."""
 
     def run(it):
         for b in batches(it):
             f, sizes = [], []
-            for text in b.column(1).to_pylist():
+            for text in b.column(2).to_pylist():
                 lines = lines_of(text or "")
                 x, s = line_features(lines) if lines else (np.zeros((0, N)), np.zeros(0))
                 f.append(x.ravel()), sizes.append(s)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(f, pa.list_(pa.float64())), pa.array(sizes, pa.list_(pa.float64()))], names=["quality", "f", "sizes"])
+            n = pa.array([len(s) for s in sizes], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), n, pa.array(f, pa.list_(pa.float64())), pa.array(sizes, pa.list_(pa.float64()))], names=["doc_id", "quality", "n", "f", "sizes"])
 
-    return docs.select(F.col("quality").cast("int"), "text").mapInArrow(run, "quality int, f array<double>, sizes array<double>")
+    return docs.select("doc_id", F.col("quality").cast("int"), "text").mapInArrow(run, "doc_id long, quality int, n long, f array<double>, sizes array<double>")
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, rounds: int = 100) -> Model:
-    """A model from at most ``max_labelled`` labelled documents, none of them held out.
+def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, rounds: int = 100, max_lines: int = MAX_LINES) -> Model:
+    """A model from at most ``max_labelled`` labelled documents, none of them held out, with at most
+    ``max_lines`` lines.
 
-    Without labelled documents of both kinds the score is a constant 1 or 0: the kind there is,
-    or 1.
+    Of rows that repeat a doc_id the one of the smallest text counts; a document labelled both
+    ways counts as both. Without labelled documents of both kinds the score is a constant 1 or 0:
+    the kind there is, or 1.
     """
-    known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "quality").distinct()
-    known = known.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(max_labelled)
-    rows = _features(docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")).toArrow()
+    first = F.xxhash64("doc_id")
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality").where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).distinct()
+    known = known.orderBy(first, "doc_id", "quality").limit(max_labelled)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(known), "doc_id")
+    found = written(_features(texts.groupBy("doc_id", "quality").agg(F.min("text").alias("text"))), "features")
+    used, room = [], max_lines
+    for r in found.select("doc_id", "n").distinct().orderBy(first, "doc_id").collect():
+        if r.n <= room:
+            used.append((r.doc_id,))
+            room -= r.n
+    some = docs.sparkSession.createDataFrame(used, "doc_id long")
+    rows = found.join(F.broadcast(some), "doc_id").orderBy(first, "doc_id", "quality").toArrow()
     y = rows.column("quality").to_numpy()
     parts = [np.asarray(x).reshape(-1, N) for x in rows.column("f").to_numpy()]
     some = np.array([len(x) > 0 for x in parts], bool)
