@@ -17,10 +17,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docveil.llm.common import batches, filesystem, shared_dir, written
+from docveil.llm.common import batches, dealt, filesystem, shared_dir, written
 
 MAGIC, TAIL = b"DVPLANE1", struct.Struct("<QII8s")
 CHUNK = 1 << 16
@@ -154,11 +154,19 @@ def write_planes(docs: DataFrame, encode, end_id: int, folder: str, kind: str =
 
     ``encode()`` gives, in a worker, a function of a text to little-endian 16-bit ids. Returns the
     manifest, a row per file in order: path, part, n_docs, n_ids. Null texts are empty; a null
-    doc_id comes first, as the id -2^63; rows of one id are in the order of their texts. Each
-    attempt of a task writes a file of its own and only the manifest's count.
+    doc_id comes first, as the id -2^63; rows of one id are in the order of their texts' xxhash64
+    and then of their ids, whatever the partitions. Texts are encoded where they are and only ids
+    are sorted. Each attempt of a task writes a file of its own and only the manifest's count.
     """
     lowest = -(1 << 63)
 
+    def run(it):
+        ids_of = encode()
+        for whole in it:
+            for b in batches([whole], 256):
+                ids = pa.array([ids_of(text) for text in b.column(2).to_pylist()], pa.binary())
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), ids], names=["doc_id", "h", "ids"])
+
     def write(it):
         from pyspark import TaskContext
 
@@ -166,35 +174,33 @@ def write_planes(docs: DataFrame, encode, end_id: int, folder: str, kind: str =
         fs.create_dir(path, recursive=True)
         part = TaskContext.get().partitionId()
         name = f"part-{part:05d}-{uuid.uuid4().hex}.planes"
-        run, docs_n, ids_n = encode(), 0, 0
-        with fs.open_output_stream(f"{path}/{name}") as sink:
+        end, docs_n, ids_n = np.array([end_id], "<u4"), 0, 0
+        with fs.open_output_stream(f"{path}/{name}", compression=None) as sink:
             w = PlaneWriter(sink, kind)
-            for whole in it:
-                for b in batches([whole], 256):
-                    for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                        ids = np.append(np.frombuffer(run(text), "<u2").astype("<u4"), np.uint32(end_id))
-                        w.add(doc, ids.astype("<u4", copy=False))
-                        docs_n, ids_n = docs_n + 1, ids_n + len(ids)
+            for b in it:
+                for doc, raw in zip(b.column(0).to_pylist(), b.column(2), strict=True):
+                    ids = np.concatenate([np.frombuffer(raw.as_buffer(), "<u2").astype("<u4"), end])
+                    w.add(doc, ids)
+                    docs_n, ids_n = docs_n + 1, ids_n + len(ids)
             w.close()
         yield pa.RecordBatch.from_pydict({"path": [f"{folder}/{name}"], "part": pa.array([part], pa.int64()), "n_docs": pa.array([docs_n], pa.int64()), "n_ids": pa.array([ids_n], pa.int64())})
 
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(lowest)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(lowest)).alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
+    # Written, as the range partitioning reads its rows twice.
+    rows = written(rows.mapInArrow(run, "doc_id long, h long, ids binary"), "ids")
+    rows = rows.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h", "ids")
     return written(rows.mapInArrow(write, "path string, part long, n_docs long, n_ids long"), "manifest")
 
 
 def read_planes(manifest: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of each document in the manifest's files.
 
-    ``start`` counts the ids of all documents before it, over all files; the files are as many as
-    the writing tasks, so their totals are summed on the driver.
+    ``start`` counts the ids of all documents before it, over all files: a running sum over the
+    manifest, which has a row per writing task.
     """
-    files = sorted(manifest.select("part", "path", "n_ids").toArrow().to_pylist(), key=lambda r: r["part"])
-    total, rows = 0, []
-    for r in files:
-        rows.append((r["path"], total))
-        total += r["n_ids"]
-    spark = manifest.sparkSession
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    todo = manifest.select("path", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("start"))
 
     def read(it):
         for b in it:
@@ -212,8 +218,7 @@ def read_planes(manifest: DataFrame) -> DataFrame:
                             out = {k: [] for k in out}
                 yield pa.RecordBatch.from_pydict({k: pa.array(v, pa.int64()) for k, v in out.items()})
 
-    todo = spark.createDataFrame(rows, "path string, start long").repartition(max(1, len(rows)))
-    return todo.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return dealt(todo).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def planes_folder(docs: DataFrame) -> str:
