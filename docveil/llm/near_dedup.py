@@ -33,6 +33,8 @@ from docveil.llm.shingles import mix, shingle_set, text_bytes
 BROADCAST_ROWS = 1_000_000
 #: Members of a bucket that one task compares with as many others.
 BLOCK = 1024
+#: Pairs of one text that are verified together, about.
+RUN = 256
 
 
 @dataclass(frozen=True)
@@ -147,41 +149,53 @@ def _alike(pairs: DataFrame, sigs: DataFrame, p: NearDedup) -> DataFrame:
     return both.mapInArrow(compare, "a long, b long, da long, db long, tha long, thb long")
 
 
-def _texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, text) of the distinct ``nodes`` (node, doc_id, th).
+def _texts(docs: DataFrame, nodes: DataFrame, repeated: bool) -> DataFrame:
+    """(node, text) of the distinct ``nodes`` (node, doc_id, th), once each.
 
     Up to ``BROADCAST_ROWS`` of them, three numbers each, are sent to the scan; more are joined.
+    ``repeated`` tells whether rows repeat both doc_id and text.
     """
     nodes = written(nodes.distinct(), "nodes")
     text = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("th"), "text")
     small = nodes.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return text.join(F.broadcast(nodes) if small else nodes, ["doc_id", "th"]).select("node", "text")
+    found = text.join(F.broadcast(nodes) if small else nodes, ["doc_id", "th"]).select("node", "text")
+    return found.dropDuplicates(["node"]) if repeated else found
 
 
-def _links(alike: DataFrame, docs: DataFrame, p: NearDedup) -> DataFrame:
+def _links(alike: DataFrame, docs: DataFrame, p: NearDedup, repeated: bool) -> DataFrame:
     """Of ``alike``, the pairs (a, b) whose full shingle sets reach the threshold."""
     nodes = alike.selectExpr("a node", "da doc_id", "tha th").unionByName(alike.selectExpr("b node", "db doc_id", "thb th"))
-    return _verified(alike.select("a", "b"), _texts(docs, nodes), p)
+    return _verified(alike.select("a", "b"), _texts(docs, nodes, repeated), p)
 
 
 def _verified(pairs: DataFrame, text: DataFrame, p: NearDedup) -> DataFrame:
-    """The pairs (a, b) whose sets, of ``text`` (node, text), reach the threshold."""
+    """The pairs (a, b) whose sets, of ``text`` (node, text), reach the threshold.
+
+    A run is up to about ``RUN`` pairs of one ``a``, whose text is sent once for each run, not for
+    each pair. Runs are sorted with their ``a`` first and read in turn, so a task holds two sets.
+    """
+    runs = pairs.groupBy("a").agg(F.ceil(F.count("*") / RUN).alias("k"))
+    pairs = written(pairs.join(runs, "a").select("a", "b", F.expr("pmod(xxhash64(b), k)").alias("run")), "runs")
+    first = pairs.select("a", "run").distinct().join(text, F.col("a") == F.col("node")).select("a", "run", F.lit(None).cast("long").alias("b"), "text")
+    others = pairs.join(text, F.col("b") == F.col("node")).select("a", "run", "b", "text")
+    rows = first.unionByName(others).repartition("a", "run").sortWithinPartitions("a", "run", F.col("b").asc_nulls_first())
 
     def verify(it):
+        s = None
         for whole in it:
             for x in batches([whole], 256):
-                keep, last = [], {}
-                for i, (a, b, u, v) in enumerate(zip(x.column(0).to_pylist(), x.column(1).to_pylist(), text_bytes(x.column(2)), text_bytes(x.column(3)), strict=True)):
-                    s, t = (last[k] if k in last else last.setdefault(k, shingle_set(d, p.words)) for k, d in (((a, len(u)), u), ((b, len(v)), v)))
+                keep = []
+                for i, (b, data) in enumerate(zip(x.column(2).to_pylist(), text_bytes(x.column(3)), strict=True)):
+                    t = shingle_set(data, p.words)
+                    if b is None:
+                        s = t
+                        continue
                     both = len(np.intersect1d(s, t, assume_unique=True))
                     if 100 * both >= p.percent * (len(s) + len(t) - both):
                         keep.append(i)
-                yield pa.RecordBatch.from_arrays(list(x.columns[:2]), names=["a", "b"]).take(pa.array(keep, pa.int64()))
+                yield pa.RecordBatch.from_arrays([x.column(0), x.column(2)], names=["a", "b"]).take(pa.array(keep, pa.int64()))
 
-    ta = text.select(F.col("node").alias("a"), F.col("text").alias("ta"))
-    tb = text.select(F.col("node").alias("b"), F.col("text").alias("tb"))
-    both = pairs.join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb")
-    return both.mapInArrow(verify, "a long, b long")
+    return rows.mapInArrow(verify, "a long, b long")
 
 
 def _shared(rest: DataFrame, text: DataFrame, p: NearDedup) -> DataFrame:
@@ -261,6 +275,7 @@ def near_duplicates(docs: DataFrame, p: NearDedup = NearDedup()) -> DataFrame:
     """
     s = written(signatures(docs, p), "signatures")
     known = s.where("n > 0 and doc_id is not null")
+    repeated = not known.groupBy("doc_id", "th").count().where("count > 1").isEmpty()
     # A class has a number of its own, as one doc_id may be the smallest of several.
     of_class = known.groupBy("f1", "f2").agg(F.min("doc_id").alias("least")).withColumn("node", F.monotonically_increasing_id())
     of_class = written(of_class, "classes")
@@ -276,7 +291,7 @@ def near_duplicates(docs: DataFrame, p: NearDedup = NearDedup()) -> DataFrame:
     near = lambda x, y: (F.least(x, y) * 100 >= F.greatest(x, y) * p.percent)
     stars = inside.where((F.col("node") != F.col("lead")) & near(F.col("n"), F.col("ln")))
     stars = written(stars.select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct(), "stars")
-    edges = written(_links(written(_alike(stars, sigs, p), "alike"), docs, p), "links")
+    edges = written(_links(written(_alike(stars, sigs, p), "alike"), docs, p, repeated), "links")
     label = components(edges)
 
     member = inside.join(label, "node", "left").select("bucket", "band", "node", "n", "lead", F.coalesce("comp", "node").alias("comp"))
@@ -285,7 +300,7 @@ def near_duplicates(docs: DataFrame, p: NearDedup = NearDedup()) -> DataFrame:
     # Pairs with the lead have been compared.
     rest = written(member.where("node != lead").join(written(mixed, "mixed"), "bucket").select("bucket", "band", "node", "n", "comp"), "rest")
     # A partner with k shingles can be alike only if s reaches it: s >= t (n + k - s).
-    text = written(_texts(docs, rest.select("node").distinct().join(sigs.select("node", "doc_id", "th"), "node")), "text")
+    text = written(_texts(docs, rest.select("node").distinct().join(sigs.select("node", "doc_id", "th"), "node"), repeated), "text")
     shared = written(_shared(rest, text, p), "shared")
     rest = rest.join(shared, "node").withColumn("hi", F.expr(f"(s * {100 + p.percent}) div {p.percent} - n")).where(f"100 * s >= {p.percent} * n")
     rest = written(rest.select("bucket", "band", "node", "n", "comp", "hi"), "rest")
