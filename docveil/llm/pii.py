@@ -75,25 +75,57 @@ KINDS = (
 )
 
 
+#: Matches that one inner fold takes; arrays grow by copying, so a fold of all would be quadratic.
+CHUNK = 128
+FOUND = "array<struct<start:int,end:int,value:string,before:string,after:string>>"
+
+
+def _let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that it may use often and that is evaluated once."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def _matches(text: Column, pattern: str) -> Column:
-    """array<struct<start,end,value>> of the leftmost non-overlapping matches, in code points."""
-    values, gaps = F.regexp_extract_all(text, F.lit(pattern), 0), F.split(text, pattern, -1)
-    steps = F.zip_with(values, F.slice(gaps, 1, F.size(values)), lambda v, g: F.struct(F.length(g).alias("g"), F.length(v).alias("n"), v.alias("v")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("out"))
+    """``FOUND``: the leftmost non-overlapping matches, in code points, with the ``REACH`` characters
+    before each and the one after it.
+
+    Matches and the pieces between them are taken in turn, so nothing is looked up by its place
+    in the text, which would read the text from its start each time.
+    """
+    both = F.struct(F.regexp_extract_all(text, F.lit(pattern), 0).alias("values"), F.split(text, pattern, -1).alias("gaps"))
+    last = lambda c: F.right(c, F.lit(REACH))
 
     def step(acc: Column, x: Column) -> Column:
-        a = acc["at"] + x["g"]
-        return F.struct((a + x["n"]).alias("at"), F.concat(acc["out"], F.array(F.struct(a.alias("start"), (a + x["n"]).alias("end"), x["v"].alias("value")))).alias("out"))
+        start = acc["at"] + F.length(x["g"])
+        end = start + F.length(x["v"])
+        said = lambda before: F.struct(
+            end.alias("at"), last(F.concat(before, x["v"])).alias("tail"),
+            F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["v"].alias("value"), before.alias("before"), F.left(x["n"], F.lit(1)).alias("after")))).alias("out"),
+        )
+        return _let(last(F.concat(acc["tail"], last(x["g"]))), said)
+
+    state = lambda at, tail, kind: F.struct(at.alias("at"), tail.alias("tail"), F.array().cast(kind).alias("out"))
+
+    def chunk(acc: Column, part: Column) -> Column:
+        inner = F.aggregate(part, state(acc["at"], acc["tail"], FOUND), step)
+        return _let(inner, lambda r: F.struct(r["at"].alias("at"), r["tail"].alias("tail"), F.concat(acc["out"], F.array(r["out"])).alias("out")))
+
+    def placed(b: Column) -> Column:
+        n = F.size(b["values"])
+        steps = F.arrays_zip(F.slice(b["gaps"], 1, n).alias("g"), b["values"].alias("v"), F.slice(b["gaps"], 2, n).alias("n"))
+        few = F.aggregate(steps, state(F.lit(0), F.lit(""), FOUND), step, lambda acc: acc["out"])
+        parts = _let(steps, lambda s: F.transform(F.sequence(F.lit(1), F.size(s), F.lit(CHUNK)), lambda i: F.slice(s, i, CHUNK)))
+        many = F.aggregate(parts, state(F.lit(0), F.lit(""), f"array<{FOUND}>"), chunk, lambda acc: F.flatten(acc["out"]))
+        return F.when(n <= CHUNK, few).otherwise(many)
 
-    return F.aggregate(steps, start, step, lambda acc: acc["out"])
+    return _let(both, placed)
 
 
 def _spans(text: Column, kind: Kind) -> Column:
     found = _matches(text, kind.pattern)
-    before = lambda x: F.when(x["start"] > 0, F.substring(text, F.greatest(x["start"] - REACH, F.lit(0)) + 1, F.least(x["start"], F.lit(REACH)))).otherwise(F.lit(""))
     if kind.ok:
-        found = F.filter(found, lambda x: kind.ok(x["value"], before(x), F.substring(text, x["end"] + 1, F.lit(1))))
-    near = lambda x: F.lower(before(x)).rlike("|".join(kind.context))
+        found = F.filter(found, lambda x: kind.ok(x["value"], x["before"], x["after"]))
+    near = lambda x: F.lower(x["before"]).rlike("|".join(kind.context))
     score = lambda x: F.least(F.lit(kind.score) + F.when(near(x), BOOST).otherwise(0.0), F.lit(1.0))
     out = F.transform(found, lambda x: F.struct(F.lit(kind.name).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), score(x).alias("score")))
     if not kind.base:
