@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -76,16 +77,21 @@ def word_encoder(specials=False):
     return encode
 
 
-def test_token_planes_equal_library(spark, tmp_path):
+@pytest.mark.parametrize("parts", [1, 9])
+def test_token_planes_equal_library(spark, tmp_path, parts):
     rows = list(enumerate(texts(3)))
-    rows += [(7, "again"), (None, "none")]
-    random.Random(1).shuffle(rows)
+    rows += [(7, f"again {i}") for i in range(40)] + [(7, "again 3"), (None, "none"), (None, "none"), (None, "other")]
+    random.Random(parts).shuffle(rows)
+    frame = docs(spark, rows).repartition(parts)
+    hashed = {(r.doc_id, r.text): r.h for r in frame.withColumn("h", F.xxhash64(F.coalesce("text", F.lit("")))).collect()}
     t, at, want = library(), 0, []
-    for i, x in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")):
+    for i, x in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, hashed[r])):
         ids = np.array([*t.encode(x or "", add_special_tokens=False).ids, 2], "<u4")
         want.append((i, at, len(ids), zlib.crc32(ids.tobytes())))
         at += len(ids)
-    got = read_planes(write_planes(docs(spark, rows).repartition(5), word_encoder(), 2, f"file://{tmp_path}/p")).collect()
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    got = read_planes(write_planes(frame, word_encoder(), 2, f"file://{tmp_path}/p")).collect()
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert sorted(map(tuple, got), key=lambda r: r[1]) == want
     assert read_planes(write_planes(docs(spark, []), word_encoder(), 2, f"file://{tmp_path}/e")).count() == 0
 
@@ -112,49 +118,102 @@ def test_token_counts_of_odd_files(spark, tmp_path):
         count_tokens(spark.createDataFrame([(f"file://{tmp_path}/x",)], "path string"), 9).collect()
 
 
+def cut_ids(p, keys, xs):
+    """The ids of each text."""
+    ids, n = p.encode(keys, xs)
+    return [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])]
+
+
+def said(p, ids):
+    return p.decode(pa.array(np.concatenate([np.array(x, np.int32) for x in ids])), np.cumsum([0, *map(len, ids)])).to_pylist()
+
+
 def test_pieces_equal_library_without_dropout():
     import sentencepiece
 
-    sp, p = sentencepiece.SentencePieceProcessor(model_file=piece_model()), Pieces(piece_model(), 0.0, 1, 1)
-    for x in texts(5, 800)[1:]:
-        ids = np.frombuffer(p.encode([1], [x])[0], "<u2")
-        assert p.decode(ids) == x and ("▁" in x or ids.tolist() == sp.encode(x)), x
+    sp, p, xs = sentencepiece.SentencePieceProcessor(model_file=piece_model()), Pieces(piece_model(), 0.0, 1), texts(5, 800)[1:]
+    got = cut_ids(p, [1] * len(xs), xs)
+    assert said(p, got) == xs
+    for x, ids in zip(xs, got, strict=True):
+        assert "▁" in x or ids == sp.encode(x), x
+
+
+def agenda(p, unit, key):
+    """The pieces of a unit: the best candidate that is not skipped, the leftmost of equals, until none is left."""
+    sym = [(i, i + 1) for i in range(len(unit))]
+    score = {}
+    while True:
+        best = None
+        for (a, m), (_, b) in zip(sym, sym[1:], strict=False):
+            t = unit[a:b].replace("▁", "\0").replace(" ", "▁")
+            if t not in score:
+                i = p.piece_to_id(t)
+                score[t] = p.get_score(i) if not p.is_unknown(i) else None
+            if score[t] is not None and not key.skipped(a, m, b) and (best is None or score[t] > best[0]):
+                best = (score[t], a, m, b)
+        if best is None:
+            return [unit[a:b] for a, b in sym]
+        _, a, m, b = best
+        sym = [(a, b) if s == (a, m) else s for s in sym if s != (m, b)]
+
+
+class Draws:
+    def __init__(self, p, key):
+        self.p, self.key = p, key
+
+    def skipped(self, a, m, b):
+        return self.p.skipped(self.key, a, m, b)
+
+
+@pytest.mark.parametrize("chance", [0.05, 0.3, 1.0])
+def test_dropout_equals_a_plain_agenda(chance):
+    import sentencepiece
+
+    sp, p = sentencepiece.SentencePieceProcessor(model_file=piece_model()), Pieces(piece_model(), chance, 3, cache=40)
+    words = "the international organisations of thereafter Zürich naïve 漢字 antidisestablishmentarianism " * 4
+    xs = [x for x in texts(6, 60)[1:] if len(x) < 100] + [words, words + "x" * 60 + " " + "ab" * 40]
+    for k, ids in enumerate(cut_ids(p, list(range(len(xs))), xs)):
+        want = [t for place, u in enumerate(UNIT.findall(" " + xs[k]) if xs[k] else []) for t in agenda(sp, u, Draws(p, p.key(k, place)))]
+        got = p.raw.take(pa.array(ids, pa.int32())).to_pylist()
+        flat = lambda ts: [c for t in ts for c in ([t] if len(t.decode(errors="replace")) > 1 else [bytes([x]) for x in t])]
+        assert flat(t.encode() for t in want) == flat(got), xs[k]
+
 
+def test_dropout_seeds_and_parts(monkeypatch):
+    import docveil.llm.pieces as P
 
-def test_dropout_agenda_and_seeds():
-    p, q = Pieces(piece_model(), 0.3, 1, 3), Pieces(piece_model(), 0.3, 2, 3)
-    x = "the international organisations of thereafter " * 5
-    a, b = p.encode([1], [x])[0], q.encode([1], [x])[0]
-    assert a == Pieces(piece_model(), 0.3, 1, 3).encode([1], [x])[0] != b
-    assert p.decode(np.frombuffer(a, "<u2")) == q.decode(np.frombuffer(b, "<u2")) == x
-    for t in texts(6, 100)[1:]:
-        for u in UNIT.findall(" " + t):
-            if len(u) < 200:
-                for v in range(2):
-                    k = p.word_key(u, v)
-                    assert p.many([u], [k])[0] == p.one(u, k)
-    assert len({p.many([" international"], [p.word_key(" international", v)])[0] for v in range(3)}) > 1
+    x = ["the international organisations of thereafter \n  " * 50, "", "again " * 300]
+    p = Pieces(piece_model(), 0.3, 1)
+    a = cut_ids(p, [1, 2, 3], x)
+    assert a == cut_ids(Pieces(piece_model(), 0.3, 1), [1, 2, 3], x) and said(p, a) == x
+    assert a[0] != cut_ids(Pieces(piece_model(), 0.3, 2), [1, 2, 3], x)[0] != cut_ids(p, [5, 2, 3], x)[0]
+    monkeypatch.setattr(P, "SLICE", 7)
+    monkeypatch.setattr(P, "ROOM", 5)
+    assert cut_ids(p, [1, 2, 3], x) == a
 
 
 def test_dropout_of_each_occurrence():
-    """Every occurrence has draws of its own, and the cache gives what the agenda gives for its key."""
-    p = Pieces(piece_model(), *(getattr(Dropout(""), k) for k in ("chance", "seed", "variants")), cache=200)
-    word, n = " internationalisations", 3000
-    ids = [p.encode([k], [word[1:]])[0] for k in range(n)]
-    assert len(set(ids)) > 10
-    plain = Pieces(piece_model(), 0.0, 1).encode([0], [word[1:]])[0]
+    """Every occurrence has draws of its own: one word is cut in many ways, in as many shares as an agenda's."""
+    p, word, n = Pieces(piece_model(), 0.1, 1), "internationalisations", 3000
+    within = cut_ids(p, [7], [" ".join([word] * n)])[0]
+    over = cut_ids(p, list(range(n)), [word] * n)
+    assert len({tuple(x) for x in over}) > 60 and len(within) > 1.05 * n * len(cut_ids(Pieces(piece_model(), 0.0, 1), [0], [word])[0])
     rng = random.Random(2)
-    free = [p.one(word, rng.getrandbits(64)) for _ in range(n)]
-    assert abs(sum(x == plain for x in ids) - sum(x == plain for x in free)) < 0.05 * n
-    for k, t in enumerate(texts(9, 60)):
-        if t:
-            units = UNIT.findall(" " + t)
-            want = b"".join(p.one(u, x) for u, x in zip(units, p.keys(k, units).tolist(), strict=True))
-            assert p.encode([k], [t])[0] == want
+    free = [p.one(" " + word, rng.getrandbits(64)) for _ in range(n)]
+    plain = cut_ids(Pieces(piece_model(), 0.0, 1), [0], [word])[0]
+    assert abs(sum(x == plain for x in over) - sum(x == plain for x in free)) < 0.05 * n
+
+
+def test_models_too_large_for_ids(monkeypatch):
+    import docveil.llm.pieces as P
+
+    monkeypatch.setattr(P, "OTHER", 20_000)
+    with pytest.raises(ValueError, match="too many"):
+        Pieces(piece_model(), 0.1, 1)
 
 
 def test_pieces_round_trip(spark):
-    rows = list(enumerate(texts(7)))
+    rows = [*enumerate(texts(7)), (None, "no id"), (None, "no id"), (3, "again")]
     p = Dropout(piece_model())
     got = decode_pieces(encode_pieces(docs(spark, rows), p), p).collect()
     assert len(got) == len(rows) and all(r.decoded == r.text for r in got) and {len(r.ids or []) for r in got if not r.text} == {0}
@@ -173,7 +232,7 @@ def test_top_k_equals_brute_force(spark, sparse):
     m[20] = 0
     rows = [(i, [float(x) for x in v]) for i, v in enumerate(m)]
     got = {}
-    for r in top_k(vectors(spark, rows).repartition(3), vectors(spark, rows).where("id % 50 in (0, 10, 20)"), 5, query_pass=6).collect():
+    for r in top_k(vectors(spark, rows).repartition(3), vectors(spark, rows).where("id % 50 in (0, 10, 20)"), 5, shard_rows=70, block_queries=6).collect():
         got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
     for q in range(300):
         if q % 50 in (0, 10, 20):
@@ -185,6 +244,10 @@ def test_top_k_odd_rows(spark):
     rows = vectors(spark, [(1, [1.0, 2.0]), (2, [1.0, 1.0]), (2, [1.0, 1.0]), (3, None), (None, [1.0, 1.0]), (4, [None, 1.0]), (5, [1.0]), (6, [-1.0, -1.0])])
     got = [tuple(r) for r in top_k(rows, rows.where("id in (1, 3)"), 5).orderBy("rank").collect()]
     assert got == [(1, 1, 2, 3), (1, 2, 2, 3), (1, 3, 6, -3)]
+    copies = vectors(spark, [(1, [1.0])] + [(2, [3.0])] * 9 + [(3, [4.0]), (2, [5.0])])
+    assert [tuple(r)[1:] for r in top_k(copies, copies.where("id = 1"), 5).orderBy("rank").collect()] == [(1, 2, 5), (2, 3, 4), (3, 2, 3), (4, 2, 3), (5, 2, 3)]
+    big = vectors(spark, [(1, [2.0**40, 1.0]), (2, [2.0**20, 1.0]), (3, [2.0**20, 2.0]), (4, [1e300, 0.0])])
+    assert [tuple(r)[1:] for r in top_k(big, big.where("id = 1"), 5).orderBy("rank").collect()] == [(1, 4, 2**63 - 1), (2, 3, 2**60 + 2), (3, 2, 2**60 + 1)]
     assert top_k(rows.limit(0), rows, 5).count() == 0 and top_k(rows, rows.limit(0), 5).count() == 0
 
 
@@ -201,11 +264,11 @@ def judged(url):
 URLS = [None, "", "no scheme", "http://", "https://Example.COM/en/x", "https://www.example.com/en/?q", "http://a.b.net/es/", "http://net/fr/#x", "http://com", "http://com/", "http://xcom/", "http://a.com:80/", "x://y.com/a://b.net/es/", "http://É.com/É", "http://a..com//", "http://example.com/en", "http://a.net?/es/", "http://" + "a." * 3000 + "com/" + "p" * 9000]
 
 
-@pytest.mark.parametrize("limit", [200_000, 0])
+@pytest.mark.parametrize("limit", [20_000_000, -1])
 def test_url_verdicts(spark, monkeypatch, limit):
     import docveil.llm.url_filter as U
 
-    monkeypatch.setattr(U, "BROADCAST_RULES", limit)
+    monkeypatch.setattr(U, "BROADCAST_BYTES", limit)
     rows = list(enumerate(URLS)) + [(4, URLS[4]), (None, URLS[5])]
     pages = spark.createDataFrame([(i, u, "x", "y") for i, u in rows], "page_id long, url string, host string, rule string")
     rules = spark.createDataFrame([*RULES, RULES[0], (None, "/", "block"), ("net", None, "block")], "host string, path string, verdict string")
@@ -214,6 +277,12 @@ def test_url_verdicts(spark, monkeypatch, limit):
     assert {r.verdict for r in url_verdicts(pages, rules.limit(0)).collect()} == {"allow"} and url_verdicts(pages.limit(0), rules).count() == 0
 
 
+def test_url_rules_keep_host_and_path_apart(spark):
+    pages = spark.createDataFrame([(1, "http://ab"), (2, "http://a/b"), (3, "http://x.ab/" + "p" * 50_000)], "page_id long, url string")
+    rules = spark.createDataFrame([("a", "b", "block"), ("ab", "", "allow"), ("b", "/", "block"), ("ab", "/" + "p" * 3000, "block")], "host string, path string, verdict string")
+    assert {r.page_id: (r.rule, r.verdict) for r in url_verdicts(pages, rules).collect()} == {1: ("ab", "allow"), 2: (None, "allow"), 3: ("ab/" + "p" * 3000, "block")}
+
+
 def test_url_ties_prefer_block(spark):
     pages = spark.createDataFrame([(1, "http://a.b/c")], "page_id long, url string")
     rules = spark.createDataFrame([("a.b", "/c", "allow"), ("a.b", "/c", "block"), ("b", "/", "allow")], "host string, path string, verdict string")
@@ -229,6 +298,13 @@ def test_warc(spark, tmp_path, monkeypatch, limit):
     rows = [(1, "u", big), (5, None, big), (3, "http://x\r\ny", big), (4, "u", None), (6, "u", ""), (7, "u", "a" * 999), (8, "u", "a" * 999), (-9, "u", odd), (10, "u", odd), (11, "u", "z" * 300_000)]
     pages = spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, digest string").repartition(3)
     files = write_warc(pages, f"file://{tmp_path}/w")
+    # A gzip member of its own for each record, with no other layer around.
+    for f in (tmp_path / "w").iterdir():
+        raw, n = f.read_bytes() if f.suffix == ".gz" else b"", 0
+        while raw:
+            z = zlib.decompressobj(31)
+            assert z.decompress(raw).startswith(b"WARC/1.1\r\n") and z.eof
+            raw, n = z.unused_data, n + 1
     got = {r.page_id: r for r in read_warc(files, payloads=True).collect()}
     first = {1: 5, 3: 5, -9: 10}
     assert len(got) == len(rows)
@@ -237,8 +313,46 @@ def test_warc(spark, tmp_path, monkeypatch, limit):
         assert (r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) == (len(p), hashlib.sha1(p).hexdigest(), "revisit" if i in first else "response", first.get(i))
         assert bytes(r.payload) == (b"" if i in first else p)
     assert read_warc(write_warc(pages.limit(0), f"file://{tmp_path}/e")).count() == 0
-    with pytest.raises(Exception, match="without an id"):
-        write_warc(pages.select(F.lit(None).cast("long").alias("page_id"), "url", "html"), f"file://{tmp_path}/n")
+
+
+def test_warc_of_odd_pages(spark, tmp_path):
+    """Null ids, repeated ids, and a header beyond any buffer."""
+    big, url = "b" * 5000, "http://x/" + "u" * 3_000_000
+    rows = [(None, url, big), (None, "n", "small"), (7, "u", big), (7, "v", "c" * 2000), (7, "v", "c" * 2000), (2, None, "c" * 2000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    got = read_warc(write_warc(pages, f"file://{tmp_path}/o")).collect()
+    want = [(None, url, 5000, "revisit", 7), (None, "n", 5, "response", None), (7, "u", 5000, "response", None), (7, "v", 2000, "response", None), (7, "v", 2000, "response", None), (2, "", 2000, "revisit", 7)]
+    assert sorted(((r.page_id, r.url, r.payload_bytes, r.record_type, r.refers_to) for r in got), key=str) == sorted(want, key=str)
+    alone = spark.createDataFrame([(None, "a", big), (None, "b", big)], "page_id long, url string, html string")
+    assert [r.record_type for r in read_warc(write_warc(alone, f"file://{tmp_path}/q")).collect()] == ["response"] * 2
+
+
+def test_files_are_read_by_a_task_each(spark, tmp_path):
+    pages = spark.createDataFrame([(i, "u", f"<p>{i}") for i in range(60)], "page_id long, url string, html string").repartition(12)
+    read = read_warc(write_warc(pages, f"file://{tmp_path}/t"))
+    assert read.rdd.getNumPartitions() == 12 and len({r.p for r in read.withColumn("p", F.spark_partition_id()).collect()}) > 6
+
+
+def test_warc_of_another_writer(spark, tmp_path):
+    body = b"<html>" * 400
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n" + body
+    hexed = "sha1:" + hashlib.sha1(body).hexdigest()
+    kind = ("Content-Type", "application/http; msgtype=response")
+    records = [
+        record("warcinfo", [], b"x: y\r\n"),
+        record("request", [("WARC-Record-ID", "<urn:uuid:a>")], b"GET /"),
+        record("response", [("WARC-Record-ID", "<urn:uuid:e11b7e32-9f51-4e52-b6c8-1a2f6a1d3c11>"), ("WARC-Target-URI", "http://a/"), kind, ("WARC-Payload-Digest", hexed)], http),
+        record("response", [("WARC-Target-URI", "http://b/"), kind, ("WARC-Payload-Digest", "md5:0")], http),
+        record("revisit", [("WARC-Target-URI", "http://c/"), ("WARC-Payload-Digest", hexed)], b""),
+    ]
+    (tmp_path / "x.warc.gz").write_bytes(b"".join(records))
+    paths = spark.createDataFrame([(f"file://{tmp_path}/x.warc.gz",)] * 2, "path string")
+    got = sorted((r.url, r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in read_warc(paths).collect())
+    digest = hashlib.sha1(body).hexdigest()
+    assert got == [("http://a/", None, 2400, digest, "response", None), ("http://b/", None, 2400, digest, "response", None), ("http://c/", None, None, digest, "revisit", None)]
+    (tmp_path / "y.warc.gz").write_bytes(record("response", [("WARC-Payload-Digest", hexed)], b"other"))
+    with pytest.raises(Exception, match="differs from its header"):
+        read_warc(spark.createDataFrame([(f"file://{tmp_path}/y.warc.gz",)], "path string")).collect()
 
 
 def test_warc_reader_faults():
