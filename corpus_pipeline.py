@@ -46,7 +46,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Drops the rows that hold a passage of the benchmark, whether or not row or item has an id."""
     rows = numbered(docs)
     items = table(spark, sf_dir, "benchmark").withColumn("item_id", F.monotonically_increasing_id())
-    hit = decontaminate(rows.select(F.col("row").alias("doc_id"), "text"), items).where("n_hit > 0").select(F.col("doc_id").alias("row"))
+    found = decontaminate(rows.select(F.col("row").alias("doc_id"), "text"), items).documents
+    hit = found.where("n_hit > 0").select(F.col("doc_id").alias("row"))
     return rows.join(written(hit, "hit"), "row", "left_anti").select(*COLUMNS)
 
 
