@@ -5,6 +5,8 @@ Offsets are code points, the end exclusive.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,22 +15,40 @@ EDGE = " \t\r\n.,;:!?\"'`()[]{}<>|"
 MATCH = "array<struct<start:int,end:int,value:string>>"
 
 
+#: Matches that one inner fold takes; arrays grow by copying, so a fold of all would be quadratic.
+CHUNK = 128
+
+
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that it may use often and that is evaluated once."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def matches(text: Column, pattern: str) -> Column:
     """Leftmost non-overlapping matches (start, end, value) of a pattern without groups that capture.
 
     Lengths of the pieces between matches and of the matches add up to the offsets.
     """
-    values, gaps = F.regexp_extract_all(text, F.lit(pattern), 0), F.split(text, pattern, -1)
-    steps = F.zip_with(values, F.slice(gaps, 1, F.size(values)), lambda v, g: F.struct(F.length(g).alias("gap"), v.alias("v")))
-    none = F.struct(F.lit(0).alias("at"), F.array().cast(MATCH).alias("out"))
+    return let(F.struct(F.regexp_extract_all(text, F.lit(pattern), 0).alias("values"), F.split(text, pattern, -1).alias("gaps")), placed)
+
+
+def placed(b: Column) -> Column:
+    """Matches from a struct of their ``values`` and of the ``gaps`` around them."""
+    one = F.array().cast(MATCH)
 
     def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["gap"]
+        start = acc["at"] + F.length(x["g"])
         end = start + F.length(x["v"])
-        one = F.array(F.struct(start.alias("start"), end.alias("end"), x["v"].alias("value")))
-        return F.struct(end.alias("at"), F.concat(acc["out"], one).alias("out"))
+        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["v"].alias("value")))).alias("out"))
+
+    def chunk(acc: Column, i: Column) -> Column:
+        part = F.slice(F.arrays_zip(b["gaps"].alias("g"), b["values"].alias("v")), i, F.least(F.lit(CHUNK), F.size(b["values"]) - i + 1))
+        inner = F.aggregate(part, F.struct(acc["at"].alias("at"), one.alias("out")), step)
+        return let(inner, lambda r: F.struct(r["at"].alias("at"), F.concat(acc["out"], F.array(r["out"])).alias("out")))
 
-    return F.aggregate(steps, none, step, lambda acc: acc["out"])
+    none = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{MATCH}>").alias("out"))
+    chunks = F.sequence(F.lit(1), F.size(b["values"]), F.lit(CHUNK))
+    return F.when(F.size(b["values"]) > 0, F.aggregate(chunks, none, chunk, lambda acc: F.flatten(acc["out"]))).otherwise(one)
 
 
 def trimmed_start(value: Column, start: Column) -> Column:

@@ -29,18 +29,41 @@ def key_table(entities: DataFrame, policy: Policy | None = None, overrides: dict
     return value.select("doc_id", "placeholder", "entity_type", "original_value", "occurrences", F.col("first.start").alias("first_start"), F.col("first.end").alias("first_end"), (same > 1).alias("is_ambiguous"))
 
 
-def replacements(entities: DataFrame, key: DataFrame) -> DataFrame:
-    """``entities`` with the token of each."""
-    k = key.select("doc_id", "entity_type", F.col("original_value").alias("text"), F.col("placeholder").alias("token"))
-    return entities.join(k, ["doc_id", "entity_type", "text"])
+def with_tokens(found: DataFrame, policy: Policy | None = None, overrides: dict[str, str] | None = None) -> DataFrame:
+    """``found`` (doc_id, line_no, text, source, offset, entities) with ``entities`` that have tokens.
+
+    A value's number is its rank among the first places of its prefix's values in the document, so
+    the entities need not be joined with their key, nor detected for it again: the windows are all
+    of a document, by which the lines are dealt already. A line's text goes with its first entity.
+    """
+    rows = found.select("doc_id", "line_no", "source", "offset", "text", F.posexplode_outer("entities").alias("i", "e"))
+    rows = rows.withColumn("text", F.when(F.coalesce("i", F.lit(0)) == 0, F.col("text")))
+    value = [F.col("e.entity_type"), F.col("e.text")]
+    mask = policy.render(*value) if policy else F.lit(None).cast("string")
+    at = F.struct((F.col("offset") + F.col("e.start")).alias("start"), (F.col("offset") + F.col("e.end")).alias("end"))
+    rows = rows.withColumn("mask", mask).withColumn("prefix", prefix_of(F.col("e.entity_type"), overrides)).withColumn("at", F.when(F.col("e").isNotNull(), at))
+    rows = rows.withColumn("first", F.min("at").over(Window.partitionBy("doc_id", "e.entity_type", "e.text")))
+    order = Window.partitionBy("doc_id", "prefix").orderBy(F.col("mask").isNotNull(), "first", "e.entity_type", "e.text")
+    token = F.coalesce("mask", F.concat(F.lit("["), F.col("prefix"), F.lit("_"), F.dense_rank().over(order).cast("string"), F.lit("]")))
+    span = F.struct("e.start", "e.end", "e.entity_type", "e.score", "e.text", token.alias("token"))
+    rows = rows.withColumn("span", F.when(F.col("e").isNotNull(), span))
+    one = F.array_sort(F.collect_list("span"))
+    return rows.groupBy("doc_id", "line_no").agg(F.max("source").alias("source"), F.max("offset").alias("offset"), F.max("text").alias("text"), one.alias("entities"))
+
+
+def key_of(tokens: DataFrame) -> DataFrame:
+    """The key of ``with_tokens``, as ``key_table`` gives it from entities."""
+    rows = tokens.select("doc_id", "offset", F.explode_outer("entities").alias("e")).where("e is not null")
+    at = F.struct((F.col("offset") + F.col("e.start")).alias("start"), (F.col("offset") + F.col("e.end")).alias("end"))
+    value = rows.groupBy("doc_id", F.col("e.token").alias("placeholder"), F.col("e.entity_type").alias("entity_type"), F.col("e.text").alias("original_value")).agg(F.min(at).alias("first"), F.count("*").alias("occurrences"))
+    same = F.count("*").over(Window.partitionBy("doc_id", "placeholder"))
+    return value.select("doc_id", "placeholder", "entity_type", "original_value", "occurrences", F.col("first.start").alias("first_start"), F.col("first.end").alias("first_end"), (same > 1).alias("is_ambiguous"))
 
 
-def anonymized_lines(lines: DataFrame, replaced: DataFrame) -> DataFrame:
-    """(doc_id, line_no, source, text) with tokens in place of entities, per line, so that a line
-    end in a cell moves nothing."""
-    spans = replaced.groupBy("doc_id", "line_no").agg(F.collect_list(F.struct(F.col("line_start").alias("start"), F.col("line_end").alias("end"), "token")).alias("spans"))
-    both = lines.join(spans, ["doc_id", "line_no"], "left")
-    return both.select("doc_id", "line_no", "source", F.when(F.col("spans").isNull(), F.col("text")).otherwise(S.splice(F.col("text"), F.col("spans"))).alias("text"))
+def anonymized_lines(tokens: DataFrame) -> DataFrame:
+    """(doc_id, line_no, source, text) of ``with_tokens``: tokens in place of entities, per line, so
+    that a line end in a cell moves nothing."""
+    return tokens.select("doc_id", "line_no", "source", F.when(F.size("entities") == 0, F.col("text")).otherwise(S.splice(F.col("text"), F.col("entities"))).alias("text"))
 
 
 def joined_text(lines: DataFrame) -> DataFrame:
@@ -64,7 +87,7 @@ def chips(key: DataFrame) -> DataFrame:
     return key.groupBy("entity_type").agg(F.count("*").alias("n_values")).orderBy(F.desc("n_values"), "entity_type")
 
 
-def redaction_pairs(entities: DataFrame, key: DataFrame) -> DataFrame:
+def redaction_pairs(key: DataFrame) -> DataFrame:
     """(doc_id, original_value, token, first_start): one token per value whatever its type, that
     of the first occurrence."""
     first = F.struct("first_start", "first_end", "entity_type")

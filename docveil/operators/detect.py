@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,47 +17,75 @@ THRESHOLD, BOOST, WINDOW = 0.35, 0.35, 5
 KIND = "struct<det:int,nscore:double,nlen:int,start:int,ordinal:int,end:int,entity_type:string,score:double,text:string>"
 
 
-def _near(text: Column, start: Column, words: tuple[str, ...]) -> Column:
-    """A context word among the ``WINDOW`` blank-separated tokens before a place in the line."""
-    tokens = F.filter(F.split(F.substring(text, F.lit(1), start), r"\s+"), lambda t: t != "")
-    last = F.array_join(F.reverse(F.slice(F.reverse(tokens), 1, WINDOW)), " ")
+#: What a choice needs to know of a detector, by its ordinal.
+KNOWN = "array<struct<det:int,score:double,entity:string,near:string>>"
+
+
+def _near(words: tuple[str, ...]) -> str:
+    """A pattern of context words on word boundaries; empty if there are none."""
     either = "|".join(re.escape(w).replace(r"\ ", " ").replace(r"\#", "#") for w in words)
-    return F.lower(last).rlike(rf"(?:^|[^a-z0-9])(?:{either})(?:$|[^a-z0-9])")
+    return rf"(?:^|[^a-z0-9])(?:{either})(?:$|[^a-z0-9])" if words else ""
+
+
+def _before(text: Column, start: Column) -> Column:
+    """The ``WINDOW`` blank-separated tokens before a place in the line, in lower case."""
+    tokens = F.filter(F.split(F.substring(text, F.lit(1), start), r"\s+"), lambda t: t != "")
+    return F.lower(F.array_join(F.reverse(F.slice(F.reverse(tokens), 1, WINDOW)), " "))
+
 
+def detected(text: Column, detectors: tuple[Detector, ...] = DETECTORS, threshold: float = THRESHOLD) -> Column:
+    """An array of ``KIND``: all detectors' trimmed spans that reach the threshold.
 
-def detected(text: Column, detector: Detector, ordinal: int, threshold: float = THRESHOLD, boosts: bool = True) -> Column:
-    """An array of ``KIND``: a detector's trimmed spans that reach the threshold."""
-    found = S.matches(text, detector.pattern)
-    # What is used twice below is a field first, so that it is evaluated and planned once.
-    ok = (lambda v: detector.valid(v)) if detector.valid else (lambda v: F.lit(None).cast("boolean"))
-    judged = F.transform(found, lambda m: F.struct(m["start"].alias("start"), m["value"].alias("value"), ok(m["value"]).alias("ok")))
+    A detector gives only the values and the gaps of its pattern; the places, scores and trimming
+    of all are one expression over these, so a plan grows little with the detectors.
+    """
+    kind = f"array<{KIND}>"
+    if not detectors:
+        return F.array().cast(kind)
+    known = F.from_json(F.lit(json.dumps([{"det": 0 if d.deterministic else 1, "score": d.score, "entity": d.entity, "near": _near(d.context)} for d in detectors])), KNOWN)
+    likely = {d.likely: text.contains(d.likely) if d.likely in ("@", "://") else text.rlike(d.likely) for d in detectors}
+    raw = F.array_compact(F.array(*(
+        F.when(likely[d.likely], F.struct(F.lit(i).alias("k"), F.regexp_extract_all(text, F.lit(d.pattern), 0).alias("values"), F.split(text, d.pattern, -1).alias("gaps"))) for i, d in enumerate(detectors)
+    )))
+
+    def valid(k: Column, value: Column) -> Column:
+        """True, false, or null where there is no test."""
+        tests: dict[Callable, list[int]] = {}
+        for i, d in enumerate(detectors):
+            if d.valid:
+                tests.setdefault(d.valid, []).append(i)
+        out = F.lit(None).cast("boolean")
+        for test, of in tests.items():
+            out = F.when(k.isin(of), test(value)).otherwise(out)
+        return out
 
     def score(m: Column) -> Column:
-        base = F.lit(detector.score)
-        if boosts and detector.context:
-            base = F.least(base + F.when(_near(text, m["start"], detector.context), BOOST).otherwise(0.0), F.lit(1.0))
+        """1 if valid, null if not, else the base score with what context adds."""
+        near = F.when(m["d"]["near"] != "", F.rlike(_before(text, m["start"]), m["d"]["near"]))
+        base = F.least(m["d"]["score"] + F.when(near, BOOST).otherwise(0.0), F.lit(1.0))
         return F.when(m["ok"], 1.0).when(~m["ok"], F.lit(None)).otherwise(base)
 
-    scored = F.filter(F.transform(judged, lambda m: F.struct(m["start"].alias("start"), m["value"].alias("value"), score(m).alias("score"))), lambda m: m["score"] >= threshold)
-
     def entity(m: Column) -> Column:
         start, value = S.trimmed_start(m["value"], m["start"]), S.trimmed(m["value"])
         n = F.length(value)
         return F.struct(
-            F.lit(0 if detector.deterministic else 1).alias("det"), (-m["score"]).alias("nscore"), (-n).alias("nlen"), start.alias("start"), F.lit(ordinal).alias("ordinal"),
-            (start + n).alias("end"), F.lit(detector.entity).alias("entity_type"), m["score"].alias("score"), value.alias("text"),
+            m["d"]["det"].alias("det"), (-m["score"]).alias("nscore"), (-n).alias("nlen"), start.alias("start"), m["k"].alias("ordinal"),
+            (start + n).alias("end"), m["d"]["entity"].alias("entity_type"), m["score"].alias("score"), value.alias("text"),
         )
 
-    all_of = F.filter(F.transform(scored, entity), lambda e: e["nlen"] < 0)
-    guard = text.contains(detector.likely) if detector.likely in ("@", "://") else text.rlike(detector.likely)
-    return F.when(guard, all_of).otherwise(F.array()).cast(f"array<{KIND}>")
+    def of(r: Column) -> Column:
+        # What is used twice below is a field first, so that it is evaluated once.
+        judged = F.transform(S.placed(r), lambda m: F.struct(r["k"].alias("k"), F.get(known, r["k"]).alias("d"), m["start"].alias("start"), m["value"].alias("value"), valid(r["k"], m["value"]).alias("ok")))
+        scored = F.transform(judged, lambda m: F.struct(m["k"].alias("k"), m["d"].alias("d"), m["start"].alias("start"), m["value"].alias("value"), score(m).alias("score")))
+        return F.filter(F.transform(F.filter(scored, lambda m: m["score"] >= threshold), entity), lambda e: e["nlen"] < 0)
+
+    return F.flatten(F.transform(F.filter(raw, lambda r: F.size(r["values"]) > 0), of)).cast(kind)
 
 
 def entities_of(text: Column, detectors: tuple[Detector, ...] = DETECTORS, threshold: float = THRESHOLD, extra: Column | None = None) -> Column:
     """The resolved entities of a line. ``extra`` (an array of ``KIND``) joins before the choice."""
-    parts = [detected(text, d, i, threshold) for i, d in enumerate(detectors)]
-    parts += [] if extra is None else [extra]
-    return S.resolve(F.concat(*parts) if parts else F.array().cast(f"array<{KIND}>"), f"array<{KIND}>")
+    found = detected(text, detectors, threshold)
+    return S.resolve(found if extra is None else F.concat(found, extra), f"array<{KIND}>")
 
 
 def with_entities(lines: DataFrame, detectors: tuple[Detector, ...] = DETECTORS, threshold: float = THRESHOLD) -> DataFrame:
@@ -93,18 +123,29 @@ def analyze(lines: DataFrame, detectors: tuple[Detector, ...] = DETECTORS, thres
     return entities(with_entities(with_offsets(lines), detectors, threshold))
 
 
-def dictionary(lines: DataFrame, terms: DataFrame, entity: str, score: float = 0.85, words: int = 3) -> DataFrame:
+#: What a listed term and a line's words are cut into.
+WORD = r"[\p{L}\p{N}&#.'-]+"
+
+
+def dictionary(lines: DataFrame, terms: DataFrame, entity: str, score: float = 0.85) -> DataFrame:
     """Whole-word, case-sensitive occurrences of listed terms (term), a row per occurrence.
 
     A stand-in for a trained recogniser of names: terms that are not listed are missed. The
-    n-grams of a line's words, up to ``words`` of them, are joined with the terms.
+    n-grams of a line's words that are as many as some term's are joined with the terms.
     """
-    tokens = S.matches(F.col("text"), r"[\p{L}\p{N}&#.'-]+")
-    grams = F.flatten(F.transform(tokens, lambda t, i: F.transform(F.sequence(F.lit(1), F.least(F.lit(words), F.size(tokens) - i)), lambda n: F.struct(t["start"].alias("start"), F.get(tokens, i + n - 1)["end"].alias("end")))))
-    rows = lines.select("doc_id", "line_no", "text", F.explode(F.when(F.size(tokens) > 0, grams)).alias("g"))
+    terms = terms.select("term").where("term is not null").distinct()
+    sizes = sorted(r[0] for r in terms.select(F.size(S.matches(F.col("term"), WORD))).distinct().collect() if r[0])
+    counts = F.array(*(F.lit(n) for n in sizes)) if sizes else F.array().cast("array<int>")
+    tokens = S.matches(F.col("text"), WORD)
+
+    def grams(ts: Column) -> Column:
+        fits = lambda i: F.filter(counts, lambda n: n <= F.size(ts) - i)
+        return F.flatten(F.transform(ts, lambda t, i: F.transform(fits(i), lambda n: F.struct(t["start"].alias("start"), F.get(ts, i + n - 1)["end"].alias("end")))))
+
+    rows = lines.select("doc_id", "line_no", "text", F.explode(S.let(tokens, grams)).alias("g"))
     raw = F.expr("substring(text, g.start + 1, g.end - g.start)")
     rows = rows.select("doc_id", "line_no", S.trimmed_start(raw, F.col("g.start")).alias("line_start"), S.trimmed(raw).alias("term"))
-    found = rows.join(terms.select("term").distinct(), "term").distinct()
+    found = rows.join(terms, "term").distinct()
     return found.select("doc_id", "line_no", F.lit(entity).alias("entity_type"), "line_start", (F.col("line_start") + F.length("term")).alias("line_end"), F.lit(score).alias("score"), F.col("term").alias("text"))
 
 

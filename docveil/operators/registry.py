@@ -33,12 +33,13 @@ DOCKET_CONTEXT = ("case", "docket", "civil action", "criminal action", "no.", "i
 BAR_CONTEXT = ("bar", "bar no", "bar number", "registration", "reg. no", "attorney registration", "registration number", "nys bar", "ny bar", "admitted")
 DOB_CONTEXT = ("dob", "d.o.b", "date of birth", "born", "birth date", "birthdate", "birthday")
 # Month names and docket case types.
-MONTH = r"(?:Jan(?:uary)?|Feb(?:ruary)?|Mar(?:ch)?|Apr(?:il)?|May|June?|July?|Aug(?:ust)?|Sep(?:tember)?|Oct(?:ober)?|Nov(?:ember)?|Dec(?:ember)?)"
+MONTH = r"(?:Jan(?:uary)?|Feb(?:ruary)?|Mar(?:ch)?|Apr(?:il)?|May|Jun(?:e)?|Jul(?:y)?|Aug(?:ust)?|Sep(?:tember)?|Oct(?:ober)?|Nov(?:ember)?|Dec(?:ember)?)"
 CASE_TYPES = "cv|cr|mc|mj|md|bk|cm|po|gd|mdl"
 
 SEPARATED_SSN = r"\b\d{3}[- ]\d{2}[- ]\d{4}\b"
 NINE = r"\b\d{9}\b"
 
+# Patterns and base scores.
 CUSTOM = (
     Detector("US_SSN", SEPARATED_SSN, 0.6, V.ssn_valid, SSN_CONTEXT),
     Detector("US_SSN", NINE, 0.3, None, SSN_CONTEXT),

@@ -30,36 +30,65 @@ def targets(values: DataFrame) -> DataFrame:
     return values.select("doc_id", "value", n.alias("numeric"), F.when(n, digits(F.col("value"))).otherwise(folded(F.col("value"))).alias("key")).where("key <> ''")
 
 
+def _keys(pieces: Column, sizes: Column) -> Column:
+    """The runs (i, j, key) of neighbouring pieces, none of them empty, whose key has one of ``sizes``."""
+    one = "array<struct<i:int,j:int,key:string>>"
+    longest = F.coalesce(F.array_max(sizes), F.lit(0))
+
+    def runs_from(i: Column) -> Column:
+        def step(acc: Column, x: Column) -> Column:
+            key = F.concat(acc["key"], x)
+            open_ = acc["open"] & (x != "") & (F.length(key) <= longest)
+            fits = open_ & F.array_contains(sizes, F.length(key))
+            out = F.when(fits, F.concat(acc["out"], F.array(F.struct(i.alias("i"), acc["j"].alias("j"), key.alias("key"))))).otherwise(acc["out"])
+            return F.struct(F.when(open_, key).otherwise(acc["key"]).alias("key"), (acc["j"] + 1).alias("j"), open_.alias("open"), out.alias("out"))
+
+        start = F.struct(F.lit("").alias("key"), i.alias("j"), F.lit(True).alias("open"), F.array().cast(one).alias("out"))
+        return F.aggregate(F.slice(pieces, i + 1, longest), start, step, lambda acc: acc["out"])
+
+    every = F.transform(pieces, lambda x, i: F.when(x != "", runs_from(i)).otherwise(F.array().cast(one)))
+    return F.when(longest > 0, F.flatten(every)).otherwise(F.array().cast(one))
+
+
 def find_runs(words: DataFrame, values: DataFrame, trim_edges: bool = True) -> DataFrame:
     """(doc_id, page, block, line, value, first_word, last_word, x0, y0, x1, y1) of each run of
     neighbouring words of a line whose joined text equals a value's key.
 
     Runs of one value are leftmost and don't overlap. A word without a digit (for numeric values)
     or text breaks a run. With ``trim_edges`` punctuation at the edges of a text's words is not
-    part of it, so ``Chen,`` matches ``Chen``. All runs up to the longest key are formed once and
-    meet the keys by an equi-join.
+    part of it, so ``Chen,`` matches ``Chen``. Within a line only runs as long as some key of the
+    document are formed; they meet the keys by an equi-join and carry the places of two words.
     """
     t = targets(values).distinct()
-    longest = t.groupBy("doc_id").agg(F.max(F.length("key")).alias("longest"))
+    sizes = lambda numeric: F.collect_set(F.when(F.col("numeric") == numeric, F.length("key")))
+    wanted = t.groupBy("doc_id").agg(sizes(True).alias("digit_sizes"), sizes(False).alias("text_sizes"))
     word = F.struct("word_no", "x0", "y0", "x1", "y1", "text")
-    lines = words.groupBy(*LINE).agg(F.array_sort(F.collect_list(word)).alias("w")).join(longest, "doc_id")
-    found = None
-    for numeric in (True, False):
-        piece = (lambda x: digits(x["text"])) if numeric else (lambda x: folded(trimmed(x["text"]) if trim_edges else x["text"]))
-        rows = lines.withColumn("p", F.transform("w", piece)).select("*", F.posexplode("p").alias("i", "head")).where("head <> ''")
-        rows = rows.withColumn("j", F.explode(F.expr("sequence(i, least(size(p) - 1, i + longest - 1))")))
-        part = F.expr("slice(p, i + 1, j - i + 1)")
-        rows = rows.withColumn("part", part).where(~F.exists("part", lambda x: x == "")).withColumn("key", F.array_join("part", "")).where("length(key) <= longest")
-        rows = rows.select(*LINE, "i", "j", "key", F.lit(numeric).alias("numeric"), F.expr("element_at(w, i + 1)").alias("a"), F.expr("element_at(w, j + 1)").alias("b"))
-        found = rows if found is None else found.unionByName(rows)
+    lines = words.groupBy(*LINE).agg(F.array_sort(F.collect_list(word)).alias("w")).join(wanted, "doc_id")
+    text = lambda x: folded(trimmed(x["text"]) if trim_edges else x["text"])
+    kinds = ((True, lambda x: digits(x["text"]), "digit_sizes"), (False, text, "text_sizes"))
+    tag = lambda found, numeric: F.transform(found, lambda r: F.struct(F.lit(numeric).alias("numeric"), r["i"].alias("i"), r["j"].alias("j"), r["key"].alias("key")))
+    both = F.concat(*(tag(_keys(F.transform("w", piece), F.col(size)), numeric) for numeric, piece, size in kinds))
+    place = lambda at, name: F.get("w", at)[name]
+    struct = lambda r: F.struct(
+        r["numeric"].alias("numeric"), r["key"].alias("key"), r["i"].alias("i"), r["j"].alias("j"), place(r["i"], "word_no").alias("first_word"), place(r["j"], "word_no").alias("last_word"),
+        place(r["i"], "x0").alias("x0"), place(r["i"], "y0").alias("y0"), place(r["j"], "x1").alias("x1"), place(r["j"], "y1").alias("y1"),
+    )
+    # explode would also filter on the array's size below, that is, form the runs twice.
+    found = lines.select(*LINE, F.explode_outer(F.transform(both, struct)).alias("r")).where("r is not null").select(*LINE, "r.*")
     hit = found.join(t, ["doc_id", "numeric", "key"])
-    run = F.struct("i", "j", "a", "b")
+    run = F.struct("i", "j", "first_word", "last_word", "x0", "y0", "x1", "y1")
     of = hit.groupBy(*LINE, "value").agg(F.array_sort(F.collect_list(run)).alias("runs"), F.first(run).alias("one"))
     none = F.slice(F.array("one"), 1, 0)
     last = lambda acc: F.coalesce(F.try_element_at(acc, F.lit(-1))["j"], F.lit(-1))
     chosen = F.aggregate("runs", none, lambda acc, r: F.when(r["i"] > last(acc), F.concat(acc, F.array(r))).otherwise(acc))
     out = of.select(*LINE, "value", F.explode(chosen).alias("r"))
-    return out.select(*LINE, "value", F.col("r.a.word_no").alias("first_word"), F.col("r.b.word_no").alias("last_word"), F.col("r.a.x0").alias("x0"), F.col("r.a.y0").alias("y0"), F.col("r.b.x1").alias("x1"), F.col("r.b.y1").alias("y1"))
+    return out.select(*LINE, "value", *(f"r.{c}" for c in ("first_word", "last_word", "x0", "y0", "x1", "y1")))
+
+
+def match_counts(values: DataFrame, runs: DataFrame) -> DataFrame:
+    """(doc_id, value, n_runs) of each distinct value, 0 where no run shows it."""
+    n = runs.groupBy("doc_id", "value").agg(F.count("*").alias("n_runs"))
+    return values.select("doc_id", "value").distinct().join(n, ["doc_id", "value"], "left").select("doc_id", "value", F.coalesce("n_runs", F.lit(0)).cast("long").alias("n_runs"))
 
 
 def unlocated(values: DataFrame, runs: DataFrame) -> DataFrame:

@@ -12,12 +12,10 @@ from docveil.functions import spans as S
 from docveil.operators import anonymize, measure, runs
 from docveil.operators.detect import analyze, dictionary as find_terms, entities, with_entities, with_offsets
 from docveil.operators.registry import select
-from docveil.sinks.html import highlighted_lines
+from docveil.sinks import tables
+from docveil.sinks.html import highlighted_lines, rendered
 from docveil.sources.text import lines_of
 
-#: The types that the documents table holds.
-FOUND = ("EMAIL_ADDRESS", "PHONE_NUMBER", "IP_ADDRESS", "CREDIT_CARD")
-
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -28,7 +26,12 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analyze(_documents(spark, sf_dir), select(list(FOUND)))
+    return analyze(_documents(spark, sf_dir))
+
+
+def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents' lines with their entities and tokens."""
+    return anonymize.with_tokens(with_entities(with_offsets(_documents(spark, sf_dir))))
 
 
 def _numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,9 +126,11 @@ def placeholder_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def anonymized_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _entities(spark, sf_dir)
-    rows = anonymize.anonymized_lines(_documents(spark, sf_dir), anonymize.replacements(found, anonymize.key_table(found)))
-    return anonymize.joined_text(rows)
+    return anonymize.joined_text(anonymize.anonymized_lines(_tokens(spark, sf_dir)))
+
+
+def anonymized_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return anonymized_text(spark, sf_dir).select("doc_id", rendered(F.col("text")).alias("html"))
 
 
 def counts_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -141,25 +146,82 @@ def chips(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers' names in lines about them."""
+    """Customers' names, and names of four words, in lines about them."""
     c = _table(spark, sf_dir, "customer")
-    text = F.concat(F.lit("Buyer "), F.col("c_name"), F.lit(", of "), F.col("c_mktsegment"), F.lit("."))
+    long = F.concat(F.lit("Bank of the "), F.col("c_name"))
+    text = F.concat(F.lit("Buyer "), F.col("c_name"), F.lit(", of "), F.col("c_mktsegment"), F.lit("; pays by "), long, F.lit("."))
     rows = c.select(F.col("c_custkey").cast("long").alias("doc_id"), F.lit(0).alias("line_no"), text.alias("text"))
-    found = find_terms(rows, c.where("c_custkey % 3 = 0").select(F.col("c_name").alias("term")), "PERSON")
+    found = find_terms(rows, c.select(F.explode(F.array(F.col("c_name"), long)).alias("term")), "PERSON")
     return found.select("doc_id", "entity_type", F.col("line_start").cast("long").alias("start"), F.col("line_end").cast("long").alias("end"), F.col("text").alias("value"))
 
 
 def redaction_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _entities(spark, sf_dir)
-    return anonymize.redaction_pairs(found, anonymize.key_table(found)).select("doc_id", "original_value", "token", F.col("first_start").cast("long"))
+    return anonymize.redaction_pairs(anonymize.key_table(_entities(spark, sf_dir))).select("doc_id", "original_value", "token", F.col("first_start").cast("long"))
+
+
+def key_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's key file."""
+    return tables.key_text(anonymize.key_table(_entities(spark, sf_dir)))
 
 
 def reidentify(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents rewritten and put back: the text of the lines that were kept."""
-    found = _entities(spark, sf_dir)
-    key = anonymize.key_table(found)
-    text = anonymize.joined_text(anonymize.anonymized_lines(_documents(spark, sf_dir), anonymize.replacements(found, key)))
-    return anonymize.reidentify(text, key).select("doc_id", "text")
+    tokens = _tokens(spark, sf_dir)
+    text = anonymize.joined_text(anonymize.anonymized_lines(tokens))
+    return anonymize.reidentify(text, anonymize.key_of(tokens)).select("doc_id", "text")
+
+
+def _identities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines with births in words, accounts, papers and links, made from customers."""
+    c = _table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("doc_id"))
+    d = F.lpad(F.pmod(F.col("doc_id") * 7919 * 101, F.lit(1000000000)).cast("string"), 9, "0")
+    day = F.date_add(F.lit("1950-01-01").cast("date"), F.col("doc_id").cast("int") % 20000)
+    texts = F.array(
+        F.concat(F.lit("Born "), F.date_format(day, "MMMM d, yyyy")),
+        F.concat(F.lit("Date of birth: "), F.date_format(day, "d MMM yyyy"), F.lit(".")),
+        F.concat(F.lit("IBAN "), F.when(F.col("doc_id") % 3 == 1, F.lit("GB33BUKB20201555555555")).otherwise(F.concat(F.lit("GB33BUKB2020155555"), F.substring(d, 1, 4)))),
+        F.concat(F.lit("Account "), d, F.lit("; passport no. A"), F.substring(d, 1, 8)),
+        F.concat(F.lit("ITIN 9"), F.substring(d, 1, 2), F.lit("-7"), F.substring(d, 3, 1), F.lit("-"), F.substring(d, 4, 4)),
+        F.concat(F.lit("Driver license K"), d, F.lit(" at https://x.example/"), d),
+        F.concat(F.lit("Bitcoin wallet 1"), F.translate(F.concat(d, d, d), "0", "x")),
+        F.concat(F.lit("Call 212-555-"), F.substring(d, 1, 4), F.lit(" or (212) 555-"), F.substring(d, 5, 4)),
+    )
+    rows = c.select("doc_id", F.posexplode(texts).alias("line_no", "text"))
+    return rows.withColumn("source", F.lit("built"))
+
+
+def detect_identities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All types on the built lines; each line's entities are a choice among all detectors'."""
+    found = with_entities(_identities(spark, sf_dir).withColumn("offset", F.lit(0)))
+    return entities(found).select("doc_id", "line_no", "entity_type", F.col("line_start").cast("long").alias("start"), F.col("line_end").cast("long").alias("end"), "score", F.col("text").alias("value"))
+
+
+def placeholder_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The key of the built cases with placeholders for all types and two prefixes of one's own."""
+    own = {"US_SSN": "TAXPAYER", "US_DOB": "BIRTH"}
+    key = anonymize.key_table(analyze(_cases(spark, sf_dir), select(list(CASES))), masks.PLACEHOLDERS, own)
+    return key.select("doc_id", "placeholder", "entity_type", "original_value", "occurrences")
+
+
+def policy_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values of every type that the court's rules govern, and of one that they leave alone."""
+    c = _table(spark, sf_dir, "customer")
+    d = F.lpad(F.pmod(F.col("c_custkey").cast("long") * 7919, F.lit(100000000)).cast("string"), 8, "0")
+    value = {
+        "US_SSN": d, "US_ITIN": F.concat(F.lit("9"), d), "CREDIT_CARD": F.concat(F.lit("4111 1111 "), d), "IBAN_CODE": F.concat(F.lit("GB33BUKB"), d), "US_BANK_NUMBER": F.substring(d, 1, 3), "LOCATION": F.col("c_mktsegment"),
+        "GPE": F.col("c_name"), "PERSON_MINOR": F.concat(F.col("c_name"), F.lit(" "), F.col("c_mktsegment")), "US_DOB": F.concat(F.lit("1/2/"), F.substring(d, 1, 4)), "ORG": F.col("c_name"),
+    }
+    rows = c.select(F.col("c_custkey").cast("long").alias("id"), F.explode(F.array(*(F.struct(F.lit(k).alias("entity_type"), v.alias("value")) for k, v in value.items()))).alias("x"))
+    return rows.select("id", "x.entity_type", "x.value", masks.COURT.render(F.col("x.entity_type"), F.col("x.value")).alias("mask"))
+
+
+def splice_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans made from order lines, put into a text though some overlap."""
+    x = _table(spark, sf_dir, "lineitem")
+    start = F.pmod("l_partkey", F.lit(50)).cast("int")
+    span = F.struct(start.alias("start"), (start + F.pmod("l_suppkey", F.lit(9)).cast("int") + 1).alias("end"), F.concat(F.lit("["), F.col("l_linenumber").cast("string"), F.lit("]")).alias("token"))
+    text = F.rpad(F.col("id").cast("string"), 60, "abcdefghij")
+    return x.groupBy(F.col("l_orderkey").cast("long").alias("id")).agg(F.collect_list(span).alias("spans")).select("id", S.splice(text, F.col("spans")).alias("text"))
 
 
 def court_key(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -188,23 +250,36 @@ def mask_initials(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select(F.col("c_custkey").cast("long").alias("id"), value.alias("value"), masks.initials(value).alias("mask"))
 
 
-def find_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each order's number as three words of a page's line, found as a run of words."""
+def _page(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """A page's line for each order, with its number as three words and as one, and the values to find."""
     n = _numbers(spark, sf_dir)
     texts = F.array(F.lit("SSN"), F.substring("d", 1, 3), F.substring("d", 4, 2), F.substring("d", 6, 4), F.lit("seen"), F.substring("d", 6, 4), F.concat(F.substring("d", 1, 3), F.lit("-"), F.substring("d", 4, 2), F.lit("-"), F.substring("d", 6, 4)))
     w = n.select(F.col("id").alias("doc_id"), F.posexplode(texts).alias("word_no", "text"))
-    w = w.select("doc_id", F.lit(1).alias("page"), F.lit(0).alias("block"), F.lit(0).alias("line"), "word_no", *(F.lit(0.0).alias(c) for c in ("x0", "y0", "x1", "y1")), "text")
-    hit = runs.find_runs(w, n.select(F.col("id").alias("doc_id"), _ssn(F.col("d")).alias("value")))
-    return hit.select("doc_id", "value", F.col("first_word").cast("long"), F.col("last_word").cast("long"))
+    x0 = F.col("word_no") * 10.0
+    w = w.select("doc_id", F.lit(1).alias("page"), F.lit(0).alias("block"), F.lit(0).alias("line"), "word_no", x0.alias("x0"), F.lit(72.0).alias("y0"), (x0 + 9.0).alias("x1"), F.lit(84.0).alias("y1"), "text")
+    return w, n.select(F.col("id").alias("doc_id"), F.explode(F.array(_ssn(F.col("d")), F.lit("seen"), F.lit("unseen"))).alias("value"))
+
+
+def find_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each order's number and a word, found as runs of words, with their boxes."""
+    hit = runs.find_runs(*_page(spark, sf_dir))
+    return hit.select("doc_id", "value", F.col("first_word").cast("long"), F.col("last_word").cast("long"), *(F.col(c).cast("double") for c in ("x0", "y0", "x1", "y1")))
+
+
+def run_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words, values = _page(spark, sf_dir)
+    return runs.match_counts(values, runs.find_runs(words, values))
 
 
 def _labels(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Labels of nations and customers' numbers against what was "detected" of suppliers' and orders'."""
+    """Labels of nations and orders' numbers against what was "detected": two in three numbers are
+    another number, and every other nation is said in another way."""
     nation, numbers = _table(spark, sf_dir, "nation"), _numbers(spark, sf_dir)
-    expected = nation.select(F.lit("LOCATION").alias("entity_type"), F.col("n_name").alias("value")).unionByName(numbers.where("id % 5 = 0").select(F.lit("US_SSN").alias("entity_type"), _ssn(F.col("d")).alias("value")))
-    detected = nation.where("n_nationkey % 2 = 0").select(F.lit("GPE").alias("entity_type"), F.concat(F.lit("  "), F.lower("n_name"), F.lit(" state ")).alias("value"))
-    detected = detected.unionByName(numbers.where("id % 3 = 0").select(F.when(F.col("id") % 2 == 0, "US_SSN").otherwise("US_EIN").alias("entity_type"), F.col("d").alias("value")))
-    return expected, detected
+    expected = nation.select(F.lit("LOCATION").alias("entity_type"), F.col("n_name").alias("value")).unionByName(numbers.select(F.lit("US_SSN").alias("entity_type"), _ssn(F.col("d")).alias("value")))
+    said = F.when(F.col("n_nationkey") % 2 == 0, F.concat(F.lit("  "), F.lower("n_name"), F.lit(" state "))).otherwise(F.reverse("n_name"))
+    number = F.when(F.col("id") % 3 == 0, F.col("d")).otherwise(F.concat(F.col("d"), F.lit("0")))
+    detected = nation.select(F.lit("GPE").alias("entity_type"), said.alias("value"))
+    return expected, detected.unionByName(numbers.select(F.when(F.col("id") % 2 == 0, "US_SSN").otherwise("US_EIN").alias("entity_type"), number.alias("value")))
 
 
 def recall_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -219,9 +294,23 @@ def missed_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return measure.missed_labels(measure.hits(*_labels(spark, sf_dir)))
 
 
+def recall_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report's rows, with ratios of two digits."""
+    return tables.recall_rows(recall_by_type(spark, sf_dir))
+
+
+def evaluate_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recall of what is detected in the built cases, each document by itself, against the orders' numbers."""
+    cases = _cases(spark, sf_dir)
+    found = analyze(cases, select(list(CASES)))
+    o = _table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("long").alias("doc_id"), F.lpad(F.pmod(F.col("o_orderkey").cast("long") * 7919 * 101, F.lit(1000000000)).cast("string"), 9, "0").alias("d"))
+    kinds = {"US_SSN": _ssn(F.col("d")), "US_EIN": F.concat(F.substring("d", 1, 2), F.lit("-"), F.substring("d", 3, 7)), "US_BANK_NUMBER": F.reverse("d")}
+    labels = o.select("doc_id", F.explode(F.array(*(F.struct(F.lit(k).alias("entity_type"), v.alias("value")) for k, v in kinds.items()))).alias("x")).select("doc_id", "x.*")
+    return measure.evaluate(found, labels, per_document=True)[0]
+
+
 def highlighted_html(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = with_entities(_documents(spark, sf_dir), select(list(FOUND))).where(F.size("entities") > 0)
-    return highlighted_lines(found)
+    return highlighted_lines(with_entities(_documents(spark, sf_dir)))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -231,6 +320,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     plain = (
         lines, global_offsets, validate_luhn, validate_iban, detect_cases, trim_spans, resolve_overlaps, document_entities, placeholder_key, anonymized_text, counts_by_type, totals, chips, dictionary,
         redaction_pairs, reidentify, court_key, mask_birth_year, mask_initials, find_runs, recall_by_type, precision, missed_labels, highlighted_html,
+        anonymized_html, key_csv, detect_identities, placeholder_cases, policy_masks, splice_overlaps, run_counts, recall_report, evaluate_cases,
     )
     return {f.__name__: f for f in plain} | {
         "detect_email": _detect("EMAIL_ADDRESS"), "detect_phone": _detect("PHONE_NUMBER"), "detect_ip": _detect("IP_ADDRESS"), "detect_card_luhn": _detect("CREDIT_CARD"),

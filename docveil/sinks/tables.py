@@ -6,14 +6,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: The columns of a document's key file.
+KEY_COLUMNS = ("placeholder", "entity_type", "original_value", "occurrences")
+
+
 def key_columns(key: DataFrame) -> DataFrame:
     return key.select("doc_id", "placeholder", "entity_type", "original_value", "occurrences", "first_start")
 
 
 def write_key_csv(key: DataFrame, folder: str) -> None:
-    """A folder of CSV files with a header, a folder per document, its rows in reading order."""
+    """CSV files with a header, a document's rows together and in reading order; as many files as
+    the key is large, not one per document."""
     rows = key_columns(key).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "first_start", "placeholder")
-    rows.drop("first_start").write.partitionBy("doc_id").option("header", True).option("escape", '"').option("encoding", "UTF-8").mode("overwrite").csv(folder)
+    rows.drop("first_start").write.option("header", True).option("escape", '"').option("encoding", "UTF-8").mode("overwrite").csv(folder)
+
+
+def key_text(key: DataFrame) -> DataFrame:
+    """(doc_id, csv): each document's key as the text of one CSV file, rows in reading order."""
+    quoted = lambda c: F.when(c.rlike('[",\r\n]'), F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(c)
+    line = F.concat_ws(",", *(quoted(F.col(c).cast("string")) for c in KEY_COLUMNS))
+    rows = key.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("first_start", "placeholder", "entity_type", line.alias("line")))).alias("rows"))
+    lines = F.concat(F.array(F.lit(",".join(KEY_COLUMNS))), F.transform("rows", lambda r: r["line"]))
+    return rows.select("doc_id", F.concat(F.array_join(lines, "\r\n"), F.lit("\r\n")).alias("csv"))
 
 
 def recall_rows(recall: DataFrame) -> DataFrame:

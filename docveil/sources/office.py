@@ -178,22 +178,32 @@ def kind_of(path: str) -> str:
     return kind
 
 
-def read_files(spark: SparkSession, *paths: str) -> DataFrame:
+def read_files(spark: SparkSession, *paths: str, errors: bool = False) -> DataFrame:
     """Lines (doc_id, line_no, text, source) of files, a task's row each; doc_id is the path.
 
     An unsupported extension is a ValueError before anything is looked for; a missing file fails
-    as Spark's readers do, on its path.
+    as Spark's readers do, on its path. A file that can't be read fails the job, or with
+    ``errors`` has a row of its own with the reason in a column ``error``, null in other rows.
     """
     for p in paths:
         kind_of(p)
 
+    def rows_of(path: str, content: bytes) -> pd.DataFrame:
+        rows = READ[kind_of(path)](content)
+        return pd.DataFrame({"doc_id": path, "line_no": range(len(rows)), "text": [t for _, t in rows], "source": [s for s, _ in rows]})
+
     def run(it):
         for b in it:
             for path, content in zip(b["path"], b["content"], strict=True):
-                rows = READ[kind_of(path)](bytes(content))
-                yield pd.DataFrame({"doc_id": path, "line_no": range(len(rows)), "text": [t for _, t in rows], "source": [s for s, _ in rows]})
+                if not errors:
+                    yield rows_of(path, bytes(content))
+                    continue
+                try:
+                    yield rows_of(path, bytes(content)).assign(error=None)
+                except Exception as e:  # noqa: BLE001
+                    yield pd.DataFrame({"doc_id": [path], "line_no": [None], "text": [None], "source": [None], "error": [f"{type(e).__name__}: {e}"]})
 
-    return spark.read.format("binaryFile").load(list(paths)).select("path", "content").mapInPandas(run, SCHEMA)
+    return spark.read.format("binaryFile").load(list(paths)).select("path", "content").mapInPandas(run, SCHEMA + ", error string" * errors)
 
 
 def read_words(spark: SparkSession, *paths: str) -> DataFrame:
@@ -207,26 +217,38 @@ def read_words(spark: SparkSession, *paths: str) -> DataFrame:
     return spark.read.format("binaryFile").load(list(paths)).select("path", "content").mapInPandas(run, WORDS)
 
 
-def rewritten_files(files: DataFrame, lines: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(path, content): ``files`` (path, content) rewritten.
+def rewritten_files(files: DataFrame, lines: DataFrame, pairs: DataFrame, bad: DataFrame | None = None) -> DataFrame:
+    """(path, content, n_found, unlocated, error): ``files`` (path, content) rewritten.
 
     Word and Excel files get the text of ``lines`` (doc_id, source, text), PDF files have the
-    values of ``pairs`` (doc_id, original_value, token, first_start) replaced.
+    values of ``pairs`` (doc_id, original_value, token, first_start) replaced. ``n_found`` counts
+    the places in a PDF file, or the paragraphs and cells given; ``unlocated`` has the values that
+    are nowhere in a PDF file's words. Files that are ``bad`` (doc_id, error) or can't be
+    rewritten have no content, and an error.
     """
     texts = lines.where(~F.lower("doc_id").endswith(".pdf")).groupBy(F.col("doc_id").alias("path")).agg(F.map_from_entries(F.collect_list(F.struct("source", "text"))).alias("texts"))
     pair = F.struct("first_start", "original_value", "token")
     found = pairs.groupBy(F.col("doc_id").alias("path")).agg(F.array_sort(F.collect_list(pair)).alias("pairs"))
 
-    def rewrite(path: str, content: bytes, texts, pairs) -> bytes:
-        kind = kind_of(path)
-        if kind == ".pdf":
-            return redact_pdf(content, [(p["original_value"], p["token"]) for p in pairs] if pairs is not None else [])[0]
-        return REWRITE[kind](content, dict(texts) if texts is not None else {})
+    def rewrite(path: str, content: bytes, texts, pairs, error) -> tuple[bytes | None, int, list[str], str | None]:
+        if error is not None:
+            return None, 0, [], error
+        try:
+            if kind_of(path) == ".pdf":
+                return *redact_pdf(content, [(p["original_value"], p["token"]) for p in pairs] if pairs is not None else []), None
+            changed = dict(texts) if texts is not None else {}
+            return REWRITE[kind_of(path)](content, changed), len(changed), [], None
+        except Exception as e:  # noqa: BLE001
+            return None, 0, [], f"{type(e).__name__}: {e}"
 
     def run(it):
         for b in it:
-            new = [rewrite(p, bytes(c), t, v) for p, c, t, v in zip(b["path"], b["content"], b["texts"], b["pairs"], strict=True)]
-            yield pd.DataFrame({"path": b["path"], "content": new})
+            rows = [rewrite(p, bytes(c), t, v, e) for p, c, t, v, e in zip(b["path"], b["content"], b["texts"], b["pairs"], b["error"], strict=True)]
+            yield pd.DataFrame([(p, *r) for p, r in zip(b["path"], rows, strict=True)], columns=["path", "content", "n_found", "unlocated", "error"])
 
     both = files.join(texts, "path", "left").join(found, "path", "left")
-    return both.select("path", "content", "texts", "pairs").mapInPandas(run, "path string, content binary")
+    if bad is None:
+        both = both.withColumn("error", F.lit(None).cast("string"))
+    else:
+        both = both.join(bad.select(F.col("doc_id").alias("path"), "error").distinct(), "path", "left")
+    return both.select("path", "content", "texts", "pairs", "error").mapInPandas(run, "path string, content binary, n_found long, unlocated array<string>, error string")

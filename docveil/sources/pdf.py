@@ -502,28 +502,29 @@ def _runs(line: list[Word], numeric: bool, key: str) -> list[tuple[int, int]]:
     return out
 
 
-def redact_pdf(data: bytes, pairs: list[tuple[str, str]]) -> tuple[bytes, int]:
+def redact_pdf(data: bytes, pairs: list[tuple[str, str]]) -> tuple[bytes, int, list[str]]:
     """The file with each value of (value, token) taken out of the page's text and the token shown
-    in its place, and the number of places.
+    in its place, the number of places, and the values that are at none.
 
     A value's characters go from the drawing operations themselves, and the file is written anew,
     so they are nowhere in it. The token is drawn in the same font, smaller if it is too wide; in
     a font that maps codes of its own it is left out. Text around keeps its place.
     """
-    f, done = File(data), 0
+    f, done, located = File(data), 0, set()
     targets = []
     for value, token in pairs:
         core = re.sub(r"\s+", "", value)
         digits = re.sub("[^0-9]", "", value)
         numeric = bool(core) and 2 * len(digits) > len(core)
         if key := digits if numeric else core.lower():
-            targets.append((numeric, key, token))
+            targets.append((numeric, key, token, value))
     for page, resources in f.pages():
         ns, operations, lines, used = _page(f, page, resources)
         gone: dict[tuple[int, int, int], str | None] = {}
-        for numeric, key, token in targets:
+        for numeric, key, token, value in targets:
             for line in lines:
                 for i, j in _runs(line, numeric, key):
+                    located.add(value)
                     glyphs = [g for w in line[i : j + 1] for g in w.glyphs]
                     while glyphs[0].text in EDGE:
                         glyphs = glyphs[1:]
@@ -550,7 +551,7 @@ def redact_pdf(data: bytes, pairs: list[tuple[str, str]]) -> tuple[bytes, int]:
         for i, n in enumerate(ns):
             f.objects[n] = {"Filter": Name("FlateDecode")}
             f.streams[n] = packed if i == 0 else zlib.compress(b"")
-    return f.save(), done
+    return f.save(), done, [v for v, _ in pairs if v not in located]
 
 
 def _without(k: int, op: str, a: list, used: tuple[Font, str, float], gone: dict) -> bytes:

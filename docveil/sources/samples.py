@@ -14,6 +14,7 @@ CONTRACT = (
     "Company card on file: 4111 1111 1111 1111.",
     "Consultant DOB: 03/14/1985. Address: 123 Main Street, New York, NY.",
 )
+# Fixed values.
 PLEADING = (
     "UNITED STATES DISTRICT COURT",
     "SOUTHERN DISTRICT OF NEW YORK",
@@ -24,18 +25,23 @@ PLEADING = (
     "Counsel: Robert Alvarez, Bar No. 4567890.",
     "Plaintiff email: sarah.chen@example.com.",
 )
+# Fixed values.
 COLUMNS = ("Name", "SSN", "DOB", "Phone", "Routing")
+# Fixed values.
 PARTIES = (
     ("Sarah Chen", "536-90-4788", "03/14/1985", "(212) 555-0182", "021000021"),
     ("Robert Alvarez", "457-55-1462", "11/02/1979", "(718) 555-0147", "011000015"),
     ("Maria Gomez", "212-09-9997", "07/23/1990", "(917) 555-0193", "121000248"),
     ("James O'Brien", "504-22-3311", "01/09/1968", "(646) 555-0110", "026009593"),
 )
+# Fixed values.
 CONTRACT_LABELS = (
     ("PERSON", "Sarah Chen"), ("ORG", "Acme Holdings LLC"), ("EMAIL_ADDRESS", "sarah.chen@example.com"), ("PHONE_NUMBER", "(212) 555-0182"), ("US_SSN", "536-90-4788"),
     ("US_EIN", "13-1234567"), ("US_BANK_ROUTING", "021000021"), ("CREDIT_CARD", "4111 1111 1111 1111"), ("US_DOB", "03/14/1985"), ("LOCATION", "123 Main Street"),
 )
+# Fixed values.
 PLEADING_LABELS = (("US_COURT_DOCKET", "1:21-cv-01234"), ("PERSON", "Alison Nathan"), ("PERSON", "Robert Alvarez"), ("US_BAR_NUMBER", "4567890"), ("EMAIL_ADDRESS", "sarah.chen@example.com"))
+# Fixed values.
 PARTY_TYPES = ("PERSON", "US_SSN", "US_DOB", "PHONE_NUMBER", "US_BANK_ROUTING")
 
 

@@ -1,4 +1,5 @@
 import io
+import random
 import zipfile
 
 import pytest
@@ -72,11 +73,38 @@ def test_key_numbers_and_counts(spark):
     text = anonymize.joined_text(done.rewritten).first().text
     assert text == "[EMAIL_1] [EMAIL_2]\n[EMAIL_1] SSN XXX-XX-4788"
     assert {(r.entity_type, r.n_values) for r in anonymize.counts_by_type(done.key).collect()} == {("EMAIL_ADDRESS", 2), ("US_SSN", 1)}
-    assert {r.token for r in anonymize.redaction_pairs(done.entities, done.key).collect()} == {"[EMAIL_1]", "[EMAIL_2]", "XXX-XX-4788"}
+    assert {r.token for r in anonymize.redaction_pairs(done.key).collect()} == {"[EMAIL_1]", "[EMAIL_2]", "XXX-XX-4788"}
     back = anonymize.reidentify(anonymize.joined_text(done.rewritten), done.key).first()
     assert back.text == "a@b.example c@d.example\na@b.example SSN 536-90-4788"
 
 
+def test_tokens_equal_the_key(spark):
+    """Tokens from windows and the key from aggregates number alike, masked values and line order too."""
+    texts = ["b@b.example SSN 536-90-4788 a@b.example", "", "a@b.example DOB 03/14/1985 (212) 555-0182", "SSN 212-09-4788 b@b.example"]
+    placed = with_entities(with_offsets(lines(spark, *texts)))
+    for policy in (None, masks.COURT, masks.PLACEHOLDERS):
+        cols = ["doc_id", "placeholder", "entity_type", "original_value", "occurrences", "first_start", "first_end", "is_ambiguous"]
+        tokens = anonymize.with_tokens(placed, policy)
+        rows = lambda df: sorted(map(tuple, df.select(cols).collect()), key=str)
+        assert rows(anonymize.key_of(tokens)) == rows(anonymize.key_table(entities(placed), policy)) and tokens.count() == 4
+
+
+def test_kept_result_detects_once(spark):
+    done = process_lines(lines(spark, "a@b.example", "x"))
+    try:
+        done.keep()
+        assert done.key.count() == 1 and "InMemoryRelation" in done.rewritten._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        done.drop()
+
+
+def test_many_matches_in_a_line(spark):
+    """More matches than a fold's, in time; places are those of the text."""
+    text = "".join(f"x{i}@y.example, 10.0.0.{i % 256} é " for i in range(2000))
+    got = analyze(lines(spark, text), select(["EMAIL_ADDRESS", "IP_ADDRESS"])).collect()
+    assert len(got) == 4000 and all(text[r.start : r.end] == r.text for r in got)
+
+
 def test_round_trip_and_ambiguity(spark):
     texts = ["SSN 536-90-4788 and SSN 212-09-4788", "call (212) 555-0182"]
     whole = "\n".join(texts)
@@ -93,9 +121,10 @@ def test_overrides_and_unmapped_prefix(spark):
 
 
 def test_dictionary(spark):
-    terms = spark.createDataFrame([("Sarah Chen",), ("Rome",)], "term string")
-    rows = dictionary(lines(spark, "By Sarah Chen, of Rome.", "sarah chen"), terms, "PERSON").collect()
-    assert {(r.text, r.line_start, r.line_end) for r in rows} == {("Sarah Chen", 3, 13), ("Rome", 18, 22)}
+    terms = spark.createDataFrame([("Sarah Chen",), ("Rome",), ("First Bank of the North",), (None,)], "term string")
+    rows = dictionary(lines(spark, "By Sarah Chen, of Rome.", "sarah chen", "The First Bank of the North, Inc"), terms, "PERSON").collect()
+    assert {(r.text, r.line_start, r.line_end) for r in rows} == {("Sarah Chen", 3, 13), ("Rome", 18, 22), ("First Bank of the North", 4, 27)}
+    assert dictionary(lines(spark, "By Sarah"), terms.limit(0), "PERSON").count() == 0
 
 
 def words(spark, *texts):
@@ -117,6 +146,7 @@ def test_runs(spark, texts, value, want):
     r = runs.find_runs(words(spark, *texts), values)
     assert sorted((x.first_word, x.last_word) for x in r.collect()) == want
     assert runs.unlocated(values, r).count() == (0 if want else 1)
+    assert [x.n_runs for x in runs.match_counts(values, r).collect()] == [len(want)]
 
 
 def test_recall_and_precision(spark):
@@ -183,6 +213,7 @@ def test_office_round_trip(spark, tmp_path):
     (tmp_path / "a.docx").write_bytes(make_docx())
     (tmp_path / "b.xlsx").write_bytes(make_xlsx())
     done, files = process_files(spark, str(tmp_path / "a.docx"), str(tmp_path / "b.xlsx"), policy=masks.COURT)
+    assert all(r.error is None and r.unlocated == [] and r.n_found > 0 for r in files.collect())
     got = {(r.doc_id.rsplit("/", 1)[1], r.source): r.text for r in done.lines.collect()}
     assert got["a.docx", "para2"] == "Mail: a@b.example now" and got["a.docx", "table0:r1c1"] == "536-90-4788" and got["b.xlsx", "Parties!C2"] == "021000021"
     new = {r.path.rsplit("/", 1)[1]: bytes(r.content) for r in files.collect()}
@@ -203,7 +234,9 @@ def test_csv(spark, tmp_path):
     done = process_lines(lines(spark, 'x a@b.example, "q" SSN 536-90-4788'))
     tables.write_key_csv(done.key, str(tmp_path / "key"))
     back = spark.read.option("header", True).option("escape", '"').csv(str(tmp_path / "key"))
-    assert {r.original_value for r in back.collect()} == {"a@b.example", "536-90-4788"}
+    assert {r.original_value for r in back.collect()} == {"a@b.example", "536-90-4788"} and back.columns[0] == "doc_id"
+    odd = spark.createDataFrame([("d", "[X_1]", "X", 'a,"b"', 2, 0)], "doc_id string, placeholder string, entity_type string, original_value string, occurrences long, first_start long")
+    assert tables.key_text(odd).first().csv == 'placeholder,entity_type,original_value,occurrences\r\n[X_1],X,"a,""b""",2\r\n'
     hit = measure.hits(samples.labels(spark), samples.labels(spark))
     tables.write_recall_csv(measure.recall_by_type(hit), measure.precision(samples.labels(spark), samples.labels(spark)), str(tmp_path / "r"))
     assert {r.value_recall for r in spark.read.option("header", True).csv(str(tmp_path / "r" / "by_type")).collect()} == {"1.00"}
@@ -245,6 +278,22 @@ def test_evaluate_per_document(spark):
 
 
 def test_write_files(spark, tmp_path):
-    rows = spark.createDataFrame([("/in/a.docx", bytearray(b"one"))], "path string, content binary")
-    assert write_files(rows, f"file://{tmp_path}/out").first().written.endswith("/out/a.docx")
-    assert (tmp_path / "out" / "a.docx").read_bytes() == b"one" and len(list((tmp_path / "out").iterdir())) == 1
+    """Files of one name keep their folders; one without content is not written."""
+    schema = "path string, content binary"
+    rows = spark.createDataFrame([("/in/a/x.docx", bytearray(b"one")), ("/in/b/x.docx", bytearray(b"two")), ("/in/b/y.pdf", None)], schema)
+    got = {r.path: r.written for r in write_files(rows, f"file://{tmp_path}/out").collect()}
+    assert got == {"/in/a/x.docx": f"file://{tmp_path}/out/a/x.docx", "/in/b/x.docx": f"file://{tmp_path}/out/b/x.docx", "/in/b/y.pdf": None}
+    assert (tmp_path / "out/a/x.docx").read_bytes() == b"one" and (tmp_path / "out/b/x.docx").read_bytes() == b"two"
+    assert len([f for f in (tmp_path / "out").rglob("*") if f.is_file()]) == 2
+    assert write_files(rows.limit(0), f"file://{tmp_path}/none").count() == 0
+    assert write_files(rows.limit(1), f"file://{tmp_path}/one").first().written == f"file://{tmp_path}/one/x.docx"
+
+
+def test_matching_of_common_words(spark):
+    """Values that share words: only those of which one holds the other are pairs."""
+    rng = random.Random(4)
+    some = lambda n: [" ".join(rng.choice(["john", "smith", "inc", "of", "the", "north", "x"]) for _ in range(rng.randint(1, 4))) for _ in range(n)]
+    left, right = some(120), some(120)
+    as_rows = lambda vs: spark.createDataFrame([(v,) for v in vs], "value string")
+    want = {(a, b) for a in left for b in right if a == b or (min(len(a), len(b)) >= 4 and (a in b or b in a))}
+    assert {(r.l, r.r) for r in measure.matching(as_rows(left), as_rows(right)).collect()} == want

@@ -45,14 +45,15 @@ def test_lines(how):
 @pytest.mark.parametrize("how", ["plain", "flate", "ascii"])
 def test_redaction_removes_text(how):
     pairs = [("sarah.chen@example.com", "[EMAIL_1]"), ("536-90-4788", "XXX-XX-4788"), ("Sarah Chen", "[NAME_1]"), ("4788", "no")]
-    new, n = pdf.redact_pdf(make_pdf(how), pairs)
+    new, n, missing = pdf.redact_pdf(make_pdf(how), [*pairs, ("Nobody", "[NAME_2]")])
+    assert missing == ["4788", "Nobody"]
     text = "\n".join(t for _, t in pdf.pdf_lines(new)).replace(" .", ".")
     assert n == 3 and "[EMAIL_1]. End" in text and "SSN XXX-XX-4788 seen" in text and "[NAME_1]" in text and "here" in text
     raw = new + b"".join(pdf.File(new).stream(k) for k in pdf.File(new).streams)
     for gone in (b"chen", b"536", b"Sarah"):
         assert gone not in raw and gone.hex().encode() not in raw
-    again, n = pdf.redact_pdf(new, pairs[:3])
-    assert n == 0 and pdf.pdf_lines(again) == pdf.pdf_lines(new)
+    again, n, missing = pdf.redact_pdf(new, pairs[:3])
+    assert n == 0 and missing == [v for v, _ in pairs[:3]] and pdf.pdf_lines(again) == pdf.pdf_lines(new)
 
 
 def test_words_keep_their_places():
@@ -79,6 +80,23 @@ def test_files(spark, tmp_path):
     assert [r.text for r in done.lines.orderBy("line_no").collect()] == LINES
     said = [t.replace(" .", ".") for _, t in pdf.pdf_lines(bytes(files.first().content))]
     assert said[1:3] == ["Mail [EMAIL_1]. End", "SSN XXX-XX-4788 seen"]
+    report = files.select("n_found", "unlocated", "error").first()
+    assert (report.n_found, report.unlocated, report.error) == (2, [], None)
     words = office.read_words(spark, str(tmp_path / "a.PDF"))
     values = words.selectExpr("doc_id", "'Sarah Chen' AS value").distinct()
     assert [(r.first_word, r.last_word) for r in runs.find_runs(words, values).collect()] == [(0, 1)]
+
+
+def test_a_bad_file_is_reported(spark, tmp_path):
+    """A broken and an encrypted file leave the others done; a value that is nowhere is named."""
+    (tmp_path / "a.pdf").write_bytes(make_pdf())
+    (tmp_path / "b.pdf").write_bytes(b"junk")
+    (tmp_path / "c.pdf").write_bytes(make_pdf().replace(b"/Root 1 0 R", b"/Root 1 0 R /Encrypt 9 0 R"))
+    load = lambda: lambda text: [("PERSON", 0, 5, 0.9)] if text.startswith("Sarah") else [("ORG", 1, 4, 0.9)] if text.startswith("Caption") else []
+    done, files = process_files(spark, str(tmp_path / "*.pdf"), load=load, entities=["EMAIL_ADDRESS"], overrides={"EMAIL_ADDRESS": "MAIL"})
+    got = {r.path.rsplit("/", 1)[1]: r for r in files.collect()}
+    assert got["b.pdf"].content is None and "not a PDF" in got["b.pdf"].error and got["c.pdf"].content is None and "encrypted" in got["c.pdf"].error
+    text = "\n".join(t for _, t in pdf.pdf_lines(bytes(got["a.pdf"].content)))
+    assert got["a.pdf"].error is None and "[MAIL_1]" in text and "[NAME_1]" in text and "536-90-4788" in text
+    assert (got["a.pdf"].n_found, got["a.pdf"].unlocated) == (2, ["apt"])
+    assert {r.doc_id.rsplit("/", 1)[1] for r in done.lines.collect()} == {"a.pdf"}

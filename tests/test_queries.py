@@ -25,7 +25,7 @@ def test_every_query_has_sql():
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
-@pytest.mark.parametrize("name", ["lines", "global_offsets", "resolve_overlaps", "document_entities", "placeholder_key", "anonymized_text", "detect_cases", "recall_by_type"])
+@pytest.mark.parametrize("name", ["lines", "global_offsets", "resolve_overlaps", "document_entities", "placeholder_key", "anonymized_text", "detect_cases", "recall_by_type", "detect_identities", "highlighted_html", "key_csv", "placeholder_cases", "splice_overlaps", "evaluate_cases", "find_runs"])
 def test_equals_sql(spark, duck, name):
     df = queries()[name](spark, SF)
     cols = sorted(df.columns)
