@@ -1,4 +1,9 @@
-"""The corpus pipeline: quality, near-duplicates, benchmark passages, personal data, token ids."""
+"""The corpus pipeline: quality, near-duplicates, benchmark passages, personal data, token ids.
+
+Stages take documents as they are: any column may be null, rows and doc_ids may repeat, texts may be
+empty or very long, and columns beyond those of documents are dropped. Decisions are made per row,
+not per doc_id. An empty table stays empty.
+"""
 
 from __future__ import annotations
 
@@ -17,7 +22,12 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents that the classifier accepts."""
+    """Keeps the documents that the classifier accepts.
+
+    It is fitted on the whole documents and labels tables, whatever ``docs`` holds. A null or blank
+    text scores 0 and goes, unless there are no labels of both kinds; repeated rows score alike.
+    Ties with the threshold stay.
+    """
     model = fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return scored(docs.select(*COLUMNS), model).where(F.col("quality_score") >= ACCEPT).select(*COLUMNS)
 
@@ -30,8 +40,9 @@ def numbered(docs: DataFrame) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one row, of the smallest id, of each group of near-duplicates.
 
-    Rows that share an id are told apart; those without an id are linked with nothing and stay, as
-    in the operator.
+    Rows that share an id are told apart: repeated rows leave one, and rows of one id with other
+    texts are judged by these. Rows without an id are linked with nothing and stay, as in the
+    operator, and so do null and blank texts. Of equal ids in a group any one row stays.
     """
     rows = numbered(docs)
     known = rows.where("doc_id is not null")
@@ -43,7 +54,11 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the rows that hold a passage of the benchmark, whether or not row or item has an id."""
+    """Drops the rows that hold a passage of the benchmark, whether or not row or item has an id.
+
+    Null and empty texts hold none and stay; repeated rows go or stay alike; without a benchmark all
+    stay.
+    """
     rows = numbered(docs)
     items = table(spark, sf_dir, "benchmark").withColumn("item_id", F.monotonically_increasing_id())
     found = decontaminate(rows.select(F.col("row").alias("doc_id"), "text"), items).documents
@@ -52,7 +67,10 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces personal data by placeholders; n_chars follows the text."""
+    """Replaces personal data by placeholders; n_chars follows the text where it changed.
+
+    All rows stay; a null text stays null. Of overlapping spans one placeholder stands for all.
+    """
     found = docs.select(*COLUMNS).withColumn("spans", pii_spans(F.col("text")))
     changed = found.withColumn("text", masked(F.col("text"), F.col("spans")))
     n = F.when(F.size("spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
@@ -60,7 +78,11 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, n_pieces and the ids of each document."""
+    """doc_id, lang, source, n_pieces and the ids of each document.
+
+    A null text has null ids and 0 pieces, an empty one no ids. The draws are keyed by doc_id (0 if
+    null), so repeated rows are cut alike.
+    """
     r = encode_pieces(docs.select(*COLUMNS), Dropout(piece_model()))
     return r.select("doc_id", "lang", "source", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_pieces"), "ids")
 
