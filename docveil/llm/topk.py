@@ -112,10 +112,11 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 5, shard_rows: int = SHA
     """
     whole = F.col("id").isNotNull() & F.col("vector").isNotNull() & ~F.exists("vector", lambda x: x.isNull()) & (F.size("vector") > 0)
     cast = lambda df: df.select(F.col("id").cast("long"), F.transform("vector", lambda x: F.floor(x)).alias("vector")).where(whole)
-    # Equal rows are one row with a count, so that many copies are not one shard.
-    rows = cast(rows).groupBy("id", "vector").agg(F.least(F.count("*"), F.lit(k).cast("long")).alias("copies"))
-    asked = cast(queries).groupBy("id").agg(F.min("vector").alias("vector"))
+    rows, asked = cast(rows), cast(queries)
     shards, blocks = (F.lit(max(1, -(-df.count() // n))) for df, n in ((rows, shard_rows), (asked, block_queries)))
+    # Equal rows are one row with a count, so that many copies are not one shard.
+    rows = rows.groupBy("id", "vector").agg(F.least(F.count("*"), F.lit(k).cast("long")).alias("copies"))
+    asked = asked.groupBy("id").agg(F.min("vector").alias("vector"))
     size = F.size("vector").alias("size")
     every = lambda n: F.explode(F.sequence(F.lit(0), (n - 1).cast("int")))
     left = rows.select("id", "vector", "copies", size, F.pmod(F.xxhash64("id", "vector"), shards).cast("int").alias("shard"), every(blocks).alias("block"))
