@@ -28,13 +28,24 @@ _LETTER = {bytes([b]).decode("latin-1"): c for b, c in _byte_letters().items()}
 _TO_LETTERS = str.maketrans(_LETTER)
 
 
+# The normalizer and pre-tokenizer, as a file says them, under which words are cut here.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
+
 class Encoder:
     """Encodes as the library does on the whole text; ids are 16-bit.
 
     Words of printable ASCII and Latin letters are lower-cased and cut here as the file's
     pre-tokenizer does and each piece goes to the library's model; all other words, and those with
-    ``<|``, go to the library whole. This holds for the normalizer and pattern that are looked
-    for below; with other files each text goes to the library as it is.
+    ``<|``, go to the library whole. This holds for just that normalizer and pre-tokenizer and for
+    added tokens with ``<|``; with other files each text goes to the library as it is.
     """
 
     def __init__(self, path: str, plain_specials: bool = False, cache: int = 300_000):
@@ -50,9 +61,8 @@ class Encoder:
             raise ValueError(f"{path}: more than 65,536 ids")
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        kinds = [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])]
-        cut = (spec["pre_tokenizer"] or {}).get("pretokenizers", [{}])[0]
-        self.fast = kinds == ["NFC", "Replace", "Lowercase"] and cut.get("behavior") == "Removed" and cut.get("pattern", {}).get("Regex") == r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+        added = spec.get("added_tokens") or []
+        self.fast = spec["normalizer"] == NORMALIZER and spec["pre_tokenizer"] == PRE_TOKENIZER and not spec.get("truncation") and all("<|" in t["content"] and " " not in t["content"] and not any(t[k] for k in ("single_word", "lstrip", "rstrip", "normalized")) for t in added)
         # Two generations of each cache: a full young one becomes the old one.
         self.limit, self.words, self.pieces, self.old_pieces = cache, _Words(self, {}), {}, {}
 

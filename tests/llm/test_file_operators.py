@@ -45,6 +45,26 @@ def test_encoder_equals_library(specials):
         assert np.frombuffer(e.encode(x), "<u2").tolist() == t.encode(x, add_special_tokens=False).ids, x
 
 
+@pytest.mark.parametrize("change", ["replace", "added", "none"])
+def test_encoder_of_another_file(tmp_path, change):
+    """A file of almost the same shape goes to the library as it is."""
+    import json
+
+    from tokenizers import Tokenizer
+
+    with open(word_bpe(), encoding="utf-8") as f:
+        spec = json.load(f)
+    if change == "replace":
+        spec["normalizer"]["normalizers"][1]["pattern"]["Regex"] = "[aeiou]"
+    elif change == "added":
+        spec["added_tokens"].append({"id": 49408, "content": "orld", "single_word": False, "lstrip": False, "rstrip": False, "normalized": False, "special": False})
+    (tmp_path / "t.json").write_text(json.dumps(spec), encoding="utf-8")
+    e, t = Encoder(str(tmp_path / "t.json")), Tokenizer.from_file(str(tmp_path / "t.json"))
+    assert e.fast == (change == "none")
+    for x in ["Hello, World's   end", *texts(8, 40)[1:]]:
+        assert np.frombuffer(e.encode(x), "<u2").tolist() == t.encode(x, add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize("kind", ["byte", "bit"])
 def test_plane_files(kind):
     rng, out = np.random.default_rng(1), io.BytesIO()

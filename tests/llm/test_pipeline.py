@@ -59,6 +59,22 @@ def test_stages_decide_by_row(spark, tmp_path):
     assert got == sorted([(1, a), (None, d)], key=str)
 
 
+def test_stages_take_empty_and_odd_tables(spark, tmp_path):
+    """Empty tables, columns of clashing names, and rows of nulls go through every stage."""
+    kind = "doc_id long, text string, lang string, source string, n_chars long"
+    empty = spark.createDataFrame([], kind)
+    for name, schema in (("labels", "doc_id long, quality int, toxic int"), ("benchmark", "item_id long, text string")):
+        spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    empty.write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+    names = ["row", "ids", "spans", "component_id", "quality_score", "node", "class"]
+    odd = spark.createDataFrame([(None, None, None, None, None, *"abcdefg"), (1, "", None, None, 0, *"abcdefg"), (2, "Plain words here. " * 20_000, "en", "s", 9, *"abcdefg")], kind + "".join(f", {n} string" for n in names))
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, odd, str(tmp_path))
+        want = corpus_pipeline.COLUMNS if name != "token_ids" else ["doc_id", "lang", "source", "n_pieces", "ids"]
+        assert got.columns == want and {r.doc_id for r in got.collect()} == ({2} if name == "quality" else {None, 1, 2}), name
+
+
 def test_every_operator_has_a_query():
     numbers = sorted(int(name[2:].split("_")[0]) for name in queries())
     assert numbers == list(range(1, 11))
