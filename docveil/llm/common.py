@@ -33,6 +33,13 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex[:12]}"
 
 
+def clear(spark: SparkSession) -> None:
+    """Deletes all that this application's operators have written in the shared folder, so also what
+    their lazy results still read; to be called when these have been saved."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark)).getParent()
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def dealt(rows: DataFrame) -> DataFrame:
     """Few rows that each are much work, such as files, dealt to a task each (``MOST_TASKS`` at most)."""
     rows = written(rows, "todo")

@@ -155,21 +155,27 @@ def write_planes(docs: DataFrame, encode, end_id: int, folder: str, kind: str =
     ``encode()`` gives, in a worker, a function of a text to little-endian 16-bit ids. Returns the
     manifest, a row per file in order: path, part, n_docs, n_ids. Null texts are empty; a null
     doc_id comes first, as the id -2^63; rows of one id are in the order of their texts' xxhash64
-    and then of their ids, whatever the partitions. Texts are encoded where they are and only ids
+    and then of their packed ids, whatever the partitions. Texts are encoded where they are and only ids
     are sorted. Each attempt of a task writes a file of its own and only the manifest's count.
     """
     lowest = -(1 << 63)
 
     def run(it):
-        ids_of = encode()
+        import zstandard
+
+        # Compressed by planes on the way too: they are written, sorted and dealt so.
+        ids_of, zip_ = encode(), zstandard.ZstdCompressor(level=1)
+        pack = lambda raw: zip_.compress(raw[0::2] + raw[1::2])
         for whole in it:
             for b in batches([whole], 256):
-                ids = pa.array([ids_of(text) for text in b.column(2).to_pylist()], pa.binary())
+                ids = pa.array([pack(ids_of(text)) for text in b.column(2).to_pylist()], pa.binary())
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), ids], names=["doc_id", "h", "ids"])
 
     def write(it):
+        import zstandard
         from pyspark import TaskContext
 
+        unzip = zstandard.ZstdDecompressor()
         fs, path = filesystem(folder)
         fs.create_dir(path, recursive=True)
         part = TaskContext.get().partitionId()
@@ -178,8 +184,9 @@ def write_planes(docs: DataFrame, encode, end_id: int, folder: str, kind: str =
         with fs.open_output_stream(f"{path}/{name}", compression=None) as sink:
             w = PlaneWriter(sink, kind)
             for b in it:
-                for doc, raw in zip(b.column(0).to_pylist(), b.column(2), strict=True):
-                    ids = np.concatenate([np.frombuffer(raw.as_buffer(), "<u2").astype("<u4"), end])
+                for doc, packed in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True):
+                    low, high = np.frombuffer(unzip.decompress(packed), np.uint8).reshape(2, -1).astype("<u4")
+                    ids = np.concatenate([low | high << 8, end])
                     w.add(doc, ids)
                     docs_n, ids_n = docs_n + 1, ids_n + len(ids)
             w.close()
