@@ -31,8 +31,8 @@ def noisy(rng, words, edits):
 def test_near_duplicates_equal_brute_force(spark, monkeypatch, small):
     import docveil.llm.near_dedup as N
 
-    if small:  # buckets of many blocks, runs of few pairs, and joins instead of broadcasts
-        for name, value in (("BLOCK", 3), ("RUN", 2), ("BROADCAST_ROWS", 0)):
+    if small:  # buckets of many blocks, and joins instead of broadcasts
+        for name, value in (("BLOCK", 3), ("BROADCAST_ROWS", 0)):
             monkeypatch.setattr(N, name, value)
     rng = random.Random(5)
     rows, base = [], [f"w{rng.randrange(4000)}" for _ in range(60)]
