@@ -19,11 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docveil.llm.common import batches, dealt, filesystem, written
+from docveil.llm.common import dealt, filesystem, written
 
 STEP = 1 << 16
 #: Payloads shorter than this are never replaced by a revisit.
 SMALL = 1000
+#: Rows of a batch that is read, and the bytes of their URLs and payloads from which it is full.
+READ_ROWS, READ_BYTES = 1024, 8 << 20
 #: Repeated payloads' digests that may be broadcast: 10 MB.
 BROADCAST_DIGESTS = 100_000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -149,10 +151,11 @@ def plan_records(pages: DataFrame, small: int = SMALL) -> DataFrame:
 def write_warc(pages: DataFrame, folder: str, small: int = SMALL, at: datetime = datetime(2024, 1, 1, tzinfo=UTC)) -> DataFrame:
     """Writes a record for each row of ``pages`` (page_id, url, html), a file per partition.
 
-    Returns the files (path, n_records). The payload is the html in UTF-8, empty if null; a null
-    url is written as an empty one. Each attempt of a task writes a file of its own and only the
-    returned ones count. Rows that repeat a page_id are records of their own, and so have other
-    record ids where their payloads differ. The record of a null page_id has an id without one.
+    Returns the files (path, n_records), which the driver holds: a row for each partition. The
+    payload is the html in UTF-8, empty if null; a null url is written as an empty one. Each attempt
+    of a task writes a file of its own and only the returned ones count. Rows that repeat a page_id
+    are records of their own, and so have other record ids where their payloads differ. The record
+    of a null page_id has an id without one.
     """
     date = at.strftime("%Y-%m-%dT%H:%M:%SZ")
 
@@ -163,19 +166,22 @@ def write_warc(pages: DataFrame, folder: str, small: int = SMALL, at: datetime =
         with fs.open_output_stream(f"{path}/{name}", compression=None) as sink:
             info = "software: docveil\r\nformat: WARC File Format 1.1\r\n".encode()
             sink.write(record("warcinfo", [("WARC-Record-ID", f"<urn:uuid:{uuid.uuid4()}>"), ("WARC-Date", date), ("Content-Type", "application/warc-fields")], info))
-            for whole in it:
-                for b in batches([whole], 256):
-                    for page, url, html, first in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                        payload = (html or "").encode("utf-8", "surrogatepass")
-                        fields = [("WARC-Record-ID", urn(page, payload)), ("WARC-Target-URI", " ".join((url or "").split())), ("WARC-Date", date), ("WARC-Payload-Digest", sha1(payload)), ("X-Payload-Length", str(len(payload)))]
-                        if first is None:
-                            sink.write(record("response", [*fields, ("Content-Type", "text/html; charset=utf-8")], payload))
-                        else:
-                            sink.write(record("revisit", [*fields, ("WARC-Refers-To", urn(first, payload)), ("WARC-Profile", PROFILE)], b""))
-                        n += 1
+            for b in it:
+                for i in range(b.num_rows):
+                    page, url, html, first = (c[i] for c in b.columns)
+                    page, url, html, first = page.as_py(), url.as_py(), html.as_buffer(), first.as_py()
+                    payload = b"" if html is None else html.to_pybytes()
+                    fields = [("WARC-Record-ID", urn(page, payload)), ("WARC-Target-URI", " ".join((url or "").split())), ("WARC-Date", date), ("WARC-Payload-Digest", sha1(payload)), ("X-Payload-Length", str(len(payload)))]
+                    if first is None:
+                        sink.write(record("response", [*fields, ("Content-Type", "text/html; charset=utf-8")], payload))
+                    else:
+                        sink.write(record("revisit", [*fields, ("WARC-Refers-To", urn(first, payload)), ("WARC-Profile", PROFILE)], b""))
+                    n += 1
         yield pa.RecordBatch.from_pydict({"path": [f"{folder}/{name}"], "n_records": pa.array([n], pa.int64())})
 
-    return written(plan_records(pages, small).mapInArrow(write, "path string, n_records long"), "archives")
+    # As an Arrow table: rows would be made in further Python workers.
+    done = plan_records(pages, small).mapInArrow(write, "path string, n_records long").toArrow()
+    return pages.sparkSession.createDataFrame(done)
 
 
 def read_warc(archives: DataFrame, payloads: bool = False) -> DataFrame:
@@ -213,15 +219,17 @@ def read_warc(archives: DataFrame, payloads: bool = False) -> DataFrame:
         for b in it:
             for path in b.column(0).to_pylist():
                 fs, name = filesystem(path)
-                rows = []
+                rows, held = [], 0
                 with fs.open_input_stream(name, compression=None) as f:
                     for h, block in read_records(f):
                         if h.get("warc-type") in ("response", "revisit"):
                             rows.append(row(path, h, block))
-                        if len(rows) == 1024:
+                            held += len(rows[-1][1]) + (len(rows[-1][-1]) if payloads else 0)
+                        if len(rows) == READ_ROWS or held >= READ_BYTES:
                             yield batch(rows)
-                            rows = []
+                            rows, held = [], 0
                 if rows:
                     yield batch(rows)
 
-    return dealt(archives.select("path").distinct()).mapInArrow(read, schema)
+    # Few rows: without coalesce each shuffle partition would write a file with a path or two.
+    return dealt(archives.select("path").distinct().coalesce(8)).mapInArrow(read, schema)

@@ -1,7 +1,9 @@
 import hashlib
 import io
 import random
+import tracemalloc
 import zlib
+from unittest.mock import MagicMock
 
 import numpy as np
 import pyarrow as pa
@@ -347,6 +349,33 @@ def test_warc_of_odd_pages(spark, tmp_path):
     assert [r.record_type for r in read_warc(write_warc(alone, f"file://{tmp_path}/q")).collect()] == ["response"] * 2
 
 
+def test_warc_holds_few_wide_pages(monkeypatch, tmp_path):
+    """A batch of wide pages is written a page at a time, and read in batches of bounded size."""
+    import docveil.llm.warc as W
+
+    class Taken(Exception):
+        def mapInArrow(self, f, schema):
+            raise Taken(f)
+
+    monkeypatch.setattr(W, "plan_records", lambda *_: Taken())
+    monkeypatch.setattr(W, "dealt", lambda _: Taken())
+    with pytest.raises(Taken) as write:
+        write_warc(None, f"file://{tmp_path}/w")
+    with pytest.raises(Taken) as read:
+        read_warc(MagicMock(), payloads=True)
+    n, html = 24, "\U0001f600" + "x" * 2_000_000
+    pages = pa.RecordBatch.from_pydict({"page_id": list(range(n)), "url": ["u"] * n, "html": [html] * n, "refers_to": pa.nulls(n, pa.int64())})
+    tracemalloc.start()
+    try:
+        files = list(write.value.args[0](iter([pages])))
+        assert tracemalloc.get_traced_memory()[1] < 20_000_000
+    finally:
+        tracemalloc.stop()
+    got = list(read.value.args[0](iter([files[0].select(["path"])])))
+    assert [x for b in got for x in b.column("page_id").to_pylist()] == list(range(n))
+    assert all(b.nbytes < 12_000_000 and set(b.column("payload").to_pylist()) == {html.encode()} for b in got)
+
+
 def test_files_are_read_by_a_task_each(spark, tmp_path):
     pages = spark.createDataFrame([(i, "u", f"<p>{i}") for i in range(60)], "page_id long, url string, html string").repartition(12)
     read = read_warc(write_warc(pages, f"file://{tmp_path}/t"))
