@@ -5,6 +5,8 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,6 +71,15 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
+def sized(it: Iterator, column: int, most: int) -> Iterator:
+    """Arrow batches cut where the texts of a column reach another ``most`` bytes, between rows."""
+    for b in it:
+        ends = np.cumsum(pc.coalesce(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False), dtype="<i8")
+        cuts = [0, *(np.flatnonzero(np.diff(ends // most)) + 1).tolist(), b.num_rows]
+        for i, j in zip(cuts, cuts[1:]):
+            yield b.slice(i, j - i)
+
+
 def batches(it: Iterator, rows: int = 512) -> Iterator:
     """Arrow batches cut to at most ``rows`` rows."""
     for b in it:

@@ -20,10 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docveil.llm.common import batches, dealt, filesystem, shared_dir, written
+from docveil.llm.common import dealt, filesystem, shared_dir, sized, written
 
 MAGIC, TAIL = b"DVPLANE1", struct.Struct("<QII8s")
 CHUNK = 1 << 16
+#: Bytes of texts that are encoded together.
+TEXT_BYTES = 16 << 20
 
 
 def to_planes(ids: np.ndarray, kind: str = "byte") -> list[bytes]:
@@ -149,14 +151,15 @@ class PlaneReader:
                 held = held[size:]
 
 
-def write_planes(docs: DataFrame, encode, end_id: int, folder: str, kind: str = "byte") -> DataFrame:
+def write_planes(docs: DataFrame, encode, end_id: int, folder: str, kind: str = "byte", many: bool = False) -> DataFrame:
     """Writes the ids of ``docs`` (doc_id, text), in ascending doc_id order over the files.
 
-    ``encode()`` gives, in a worker, a function of a text to little-endian 16-bit ids. Returns the
-    manifest, a row per file in order: path, part, n_docs, n_ids. Null texts are empty; a null
-    doc_id comes first, as the id -2^63; rows of one id are in the order of their texts' xxhash64
-    and then of their packed ids, whatever the partitions. Texts are encoded where they are and only ids
-    are sorted. Each attempt of a task writes a file of its own and only the manifest's count.
+    ``encode()`` gives, in a worker, a function of a text to little-endian 16-bit ids; if ``many``, of
+    an Arrow array of texts to a list of such. Returns the manifest, a row per file in order: path,
+    part, n_docs, n_ids. Null texts are empty; a null doc_id comes first, as the id -2^63; rows of one
+    id are in the order of their texts' xxhash64 and then of their packed ids, whatever the
+    partitions. Texts are encoded where they are and only ids are sorted. Each attempt of a task
+    writes a file of its own and only the manifest's count.
     """
     lowest = -(1 << 63)
 
@@ -166,10 +169,9 @@ def write_planes(docs: DataFrame, encode, end_id: int, folder: str, kind: str =
         # Compressed by planes on the way too: they are written, sorted and dealt so.
         ids_of, zip_ = encode(), zstandard.ZstdCompressor(level=1)
         pack = lambda raw: zip_.compress(raw[0::2] + raw[1::2])
-        for whole in it:
-            for b in batches([whole], 256):
-                ids = pa.array([pack(ids_of(text)) for text in b.column(2).to_pylist()], pa.binary())
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), ids], names=["doc_id", "h", "ids"])
+        for b in sized(it, 2, TEXT_BYTES):
+            ids = ids_of(b.column(2)) if many else map(ids_of, b.column(2).to_pylist())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(list(map(pack, ids)), pa.binary())], names=["doc_id", "h", "ids"])
 
     def write(it):
         import zstandard
@@ -197,7 +199,8 @@ def write_planes(docs: DataFrame, encode, end_id: int, folder: str, kind: str =
     # Written, as the range partitioning reads its rows twice.
     rows = written(rows.mapInArrow(run, "doc_id long, h long, ids binary"), "ids")
     rows = rows.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h", "ids")
-    return written(rows.mapInArrow(write, "path string, part long, n_docs long, n_ids long"), "manifest")
+    # As one file: a row for each task.
+    return written(rows.mapInArrow(write, "path string, part long, n_docs long, n_ids long").repartition(1), "manifest")
 
 
 def read_planes(manifest: DataFrame) -> DataFrame:

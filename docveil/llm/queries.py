@@ -105,9 +105,9 @@ def op9_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     def encode():
         from docveil.llm.encoder import encoder
 
-        return encoder(path).encode
+        return encoder(path).encode_many
 
-    return read_planes(write_planes(docs, encode, 2, planes_folder(docs)))
+    return read_planes(write_planes(docs, encode, 2, planes_folder(docs), many=True))
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,6 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from docveil.llm.common import sized
 from docveil.llm.encoder import Encoder
 from docveil.llm.planes import PlaneReader, PlaneWriter, read_planes, write_planes
 from docveil.llm.pieces import UNIT, Dropout, Pieces, decode_pieces, encode_pieces
@@ -47,6 +48,31 @@ def test_encoder_equals_library(specials):
         assert np.frombuffer(e.encode(x), "<u2").tolist() == t.encode(x, add_special_tokens=False).ids, x
 
 
+@pytest.mark.parametrize("kind", [pa.string(), pa.large_string()])
+def test_many_texts_equal_library(kind):
+    t, e = library(), Encoder(word_bpe(), cache=50)
+    xs = pa.array([*texts(11, 800), "a<|ENDOFTEXT|> <|endoftext|>b", "W\u030a A\u0301 \v\f\r\x1d\xa0\u2003", "\u0178\u0130\u0131 '\u017f"], kind)
+    for part in (xs, xs.slice(5, 300), xs.slice(0, 3), xs.slice(2, 1), xs.slice(9, 0)):
+        want = [t.encode(x or "", add_special_tokens=False).ids for x in part.to_pylist()]
+        assert [np.frombuffer(b, "<u2").tolist() for b in e.encode_many(part)] == want
+
+
+def test_words_of_many_texts_are_looked_up_once(monkeypatch):
+    asked, e = [], Encoder(word_bpe())
+    monkeypatch.setattr(e, "word", lambda w, of=e.word: asked.append(w) or of(w))
+    got = e.encode_many(pa.array(["one two\tTwo " * 1000] * 50))
+    assert sorted(w for w in asked if w) == ["Two", "one", "two"] and len(asked) <= 4
+    assert got == [e.encode("one two two " * 1000)] * 50
+
+
+def test_batches_cut_by_size():
+    sizes = [0, 3, 9, 25, None, 0, 4, 4, 4, 1]
+    b = pa.RecordBatch.from_pydict({"i": range(10), "text": [None if n is None else "x" * n for n in sizes]})
+    got = list(sized([b, b.slice(4, 0), b.slice(3, 1)], 1, 10))
+    assert [r["i"] for x in got for r in x.to_pylist()] == [*range(10), 3]
+    assert all(sum(sizes[i] or 0 for i in x.column(0).to_pylist()[1:]) < 10 for x in got) and len(got) == 7
+
+
 @pytest.mark.parametrize("change", ["replace", "added", "none"])
 def test_encoder_of_another_file(tmp_path, change):
     """A file of almost the same shape goes to the library as it is."""
@@ -118,6 +144,26 @@ def test_token_planes_equal_library(spark, tmp_path, parts):
     assert read_planes(write_planes(docs(spark, []), word_encoder(), 2, f"file://{tmp_path}/e")).count() == 0
 
 
+@pytest.mark.parametrize("size", [40, 16 << 20])
+def test_token_planes_of_many_texts(spark, tmp_path, monkeypatch, size):
+    from docveil.llm import planes
+
+    def encode(path=word_bpe()):
+        from docveil.llm.encoder import encoder
+
+        return encoder(path).encode_many
+
+    monkeypatch.setattr(planes, "TEXT_BYTES", size)
+    frame = docs(spark, enumerate(texts(12))).repartition(2)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    manifest = write_planes(frame, encode, 2, f"file://{tmp_path}/m", many=True)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(manifest.inputFiles()) == 1 < manifest.count()
+    got = read_planes(manifest).collect()
+    want = read_planes(write_planes(frame, word_encoder(), 2, f"file://{tmp_path}/o")).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(got) == len(texts(12))
+
+
 def test_token_counts_equal_library(spark, tmp_path):
     rows = list(enumerate(texts(4)))
     files, documents = write_token_files(docs(spark, rows).repartition(3), word_encoder(True), 49407, f"file://{tmp_path}/t")
